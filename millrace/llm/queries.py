@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat_format, url_filter
+from millrace.llm import chat_format, jaccard_join, url_filter
 from millrace.session import table, workers_import
 
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -42,6 +42,29 @@ SELECT page_id, host, path, best.rule AS rule, coalesce(best.action, 'allow') AS
 """
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+OP5_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+'), lambda w: w != '') AS w
+  FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM d),
+g AS (SELECT min(doc_id) AS rep, list_sort(s) AS s FROM s WHERE len(s) > 0 GROUP BY list_sort(s)),
+e AS MATERIALIZED (SELECT rep, len(s) AS n, unnest(s) AS x FROM g),
+p AS (SELECT a.rep AS a, b.rep AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS joint FROM e a JOIN e b ON a.x = b.x AND a.rep < b.rep GROUP BY ALL),
+l AS MATERIALIZED (SELECT a, b FROM p WHERE 100 * joint >= 80 * (na + nb - joint)),
+u AS MATERIALIZED (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT rep AS node, rep AS label FROM g UNION SELECT u.b, r.label FROM r JOIN u ON u.a = r.node AND r.label < u.b),
+c AS (SELECT node, min(label) AS label FROM r GROUP BY node)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(c.label, s.doc_id) AS component_id
+FROM s LEFT JOIN g ON list_sort(s.s) = g.s AND len(s.s) > 0 LEFT JOIN c ON c.node = g.rep
+"""
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = literal_rows(spark, [(-1, 0, "user", HOSTILE), (-1, 1, "assistant", HOSTILE)], "conv_id", "turn", "role", "text")
@@ -70,9 +93,10 @@ FROM t GROUP BY conv_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_url_filter": op4_url_filter,
+    "op5_jaccard_join": op5_jaccard_join,
     "op10_chat_format": op10_chat_format,
 }
-SQL: dict[str, str] = {"op4_url_filter": OP4_SQL, "op10_chat_format": OP10_SQL}
+SQL: dict[str, str] = {"op4_url_filter": OP4_SQL, "op5_jaccard_join": OP5_SQL, "op10_chat_format": OP10_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
