@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat_format, jaccard_join, url_filter
+from millrace.llm import chat_format, decontaminate, jaccard_join, url_filter
 from millrace.session import table, workers_import
 
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -48,7 +48,8 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP5_SQL = r"""
 WITH RECURSIVE d AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+'), lambda w: w != '') AS w
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-
+]+'), lambda w: w != '') AS w
   FROM documents),
 s AS (
   SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
@@ -65,6 +66,36 @@ FROM s LEFT JOIN g ON list_sort(s.s) = g.s AND len(s.s) > 0 LEFT JOIN c ON c.nod
 """
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = decontaminate.shared_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = decontaminate.report(spans)
+    names = F.array_sort(F.transform("item_ids", lambda i: i.cast("string")))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", names), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+OP9_SQL = r"""
+WITH d AS (
+  SELECT doc_id AS id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w != '') AS w FROM documents),
+b AS (
+  SELECT item_id AS id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w != '') AS w FROM benchmark),
+k AS MATERIALIZED (
+  SELECT DISTINCT id, least(len(w), 10) AS n, unnest(list_transform(range(1, len(w) - least(len(w), 10) + 2), lambda i: array_to_string(w[i:i + least(len(w), 10) - 1], ' '))) AS x
+  FROM b WHERE len(w) > 0),
+z AS (SELECT DISTINCT n FROM k),
+g AS (
+  SELECT d.id, z.n, unnest(range(1, len(d.w) - z.n + 2)) AS pos, unnest(list_transform(range(1, len(d.w) - z.n + 2), lambda i: array_to_string(d.w[i:i + z.n - 1], ' '))) AS x
+  FROM d, z WHERE len(d.w) >= z.n),
+h AS MATERIALIZED (SELECT g.id, g.pos, g.n, k.id AS item FROM g JOIN k ON g.n = k.n AND g.x = k.x),
+c AS (SELECT id, count(*) AS n_hit FROM (SELECT DISTINCT id, unnest(range(pos, pos + n)) AS p FROM h) GROUP BY id),
+i AS (SELECT id, count(*) AS n_items, string_agg(CAST(item AS VARCHAR), ',' ORDER BY CAST(item AS VARCHAR)) AS items FROM (SELECT DISTINCT id, item FROM h) GROUP BY id)
+SELECT d.id AS doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(c.n_hit, 0) AS n_hit, coalesce(i.n_items, 0) AS n_items, sha256(coalesce(i.items, '')) AS items_sha256, coalesce(c.n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c USING (id) LEFT JOIN i USING (id)
+"""
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = literal_rows(spark, [(-1, 0, "user", HOSTILE), (-1, 1, "assistant", HOSTILE)], "conv_id", "turn", "role", "text")
@@ -94,9 +125,10 @@ FROM t GROUP BY conv_id
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_url_filter": op4_url_filter,
     "op5_jaccard_join": op5_jaccard_join,
+    "op9_decontaminate": op9_decontaminate,
     "op10_chat_format": op10_chat_format,
 }
-SQL: dict[str, str] = {"op4_url_filter": OP4_SQL, "op5_jaccard_join": OP5_SQL, "op10_chat_format": OP10_SQL}
+SQL: dict[str, str] = {"op4_url_filter": OP4_SQL, "op5_jaccard_join": OP5_SQL, "op9_decontaminate": OP9_SQL, "op10_chat_format": OP10_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
