@@ -15,8 +15,8 @@ the whole sequence). Documents of equal sets are one class; the join runs betwee
    components, only pairs of different components are left to look at, first between a few members
    of each component, then all of them. So no link between components is lost, and a group of
    thousands of copies costs a few comparisons for each copy and not all its pairs.
-4. Every candidate pair is verified once: texts are joined to the pairs, a suffix filter bounds the
-   overlap by the counts of hash ranges, and the exact overlap decides.
+4. Every candidate pair is verified once: a suffix filter bounds the overlap by what both sets hold of
+   each of many hash ranges; for the pairs left, the texts are read again and the exact overlap decides.
 5. Components by alternating minimum labels and pointer jumping, after a spanning forest per partition.
 
 Defined results: null text or no word: empty set, linked with nothing, its own component. Equal sets
@@ -30,7 +30,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,8 +40,8 @@ from millrace.session import written
 
 K = 5
 PER_100 = 80
-SHARE = 1e-6
-LOCAL = 4
+SHARE = 2e-7
+LOCAL = 3
 BLOCK_SHINGLES = 4 << 20
 LIST_LIMIT = 64
 WINDOW = 8
@@ -77,29 +76,29 @@ def _frequent_of(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return u[n >= LOCAL], n[n >= LOCAL]
 
 
-_FIRST = pa.schema([("doc_id", pa.int64()), ("class", pa.int64()), ("n", pa.int64()), ("shingle", pa.int64()), ("seen", pa.int64())])
+_FIRST = pa.schema([("doc_id", pa.int64()), ("class", pa.int64()), ("n", pa.int64()), ("ranges", pa.binary()), ("shingle", pa.int64()), ("seen", pa.int64())])
 
 
 def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held, size = [], 0
     for b in batches:
-        ids, cls, ns = b.column(0).to_pylist(), [0] * b.num_rows, [0] * b.num_rows
+        ids, cls, ns, ranges = b.column(0).to_pylist(), [0] * b.num_rows, [0] * b.num_rows, [b""] * b.num_rows
         for i, s in shingle_sets(b.column(1)):
-            cls[i], ns[i] = class_of(s), len(s)
+            cls[i], ns[i], ranges[i] = class_of(s), len(s), signature(s)
             held.append(s)
             size += len(s)
             if size >= BLOCK_SHINGLES:
                 yield _seen(*_frequent_of(held))
                 held, size = [], 0
         none = pa.nulls(len(ids), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(cls, pa.int64()), pa.array(ns, pa.int64()), none, none], schema=_FIRST)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(cls, pa.int64()), pa.array(ns, pa.int64()), pa.array(ranges, pa.binary()), none, none], schema=_FIRST)
     if size:
         yield _seen(*_frequent_of(held))
 
 
 def _seen(u: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
     none = pa.nulls(len(u), pa.int64())
-    return pa.RecordBatch.from_arrays([none, none, none, pa.array(u.view(np.int64)), pa.array(n.astype(np.int64))], schema=_FIRST)
+    return pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(u), pa.binary()), pa.array(u.view(np.int64)), pa.array(n.astype(np.int64))], schema=_FIRST)
 
 
 def rare_first(s: np.ndarray, frequent: np.ndarray, count: np.ndarray, filt: np.ndarray) -> np.ndarray:
@@ -163,80 +162,105 @@ def _pairs(e: np.ndarray, i: np.ndarray, j: np.ndarray, per_100: int) -> np.ndar
     """Those of the pairs (i, j) of entries of one list that pass the length and positional filters."""
     a, b = e[i], e[j]
     na, nb = a["n"].astype(np.int64), b["n"].astype(np.int64)
-    least = -(-per_100 * (na + nb) // (100 + per_100))
+    least = least_overlap(na, nb, per_100)
     rest = 1 + np.minimum(na - a["pos"] - 1, nb - b["pos"] - 1)
     ok = (100 * np.minimum(na, nb) >= per_100 * np.maximum(na, nb)) & (rest >= least) & (a["class"] != b["class"])
     x, y = a["class"][ok], b["class"][ok]
     return np.stack([np.minimum(x, y), np.maximum(x, y)], 1)
 
 
-def list_pairs(e: np.ndarray, per_100: int) -> np.ndarray:
-    """Candidate pairs of one posting list (sorted by size): all, or those near in order for long lists."""
-    m = len(e)
-    if m <= LIST_LIMIT:
-        return _pairs(e, *np.triu_indices(m, 1), per_100)
-    k = np.arange(m)
-    i = np.concatenate([k[d:] - d for d in range(1, WINDOW + 1)] + [np.full(m - h - 1, h) for h in range(HEADS)])
-    j = np.concatenate([k[d:] for d in range(1, WINDOW + 1)] + [k[h + 1 :] for h in range(HEADS)])
-    return _pairs(e, i, j, per_100)
+def list_pairs(e: np.ndarray, per_100: int) -> tuple[np.ndarray, np.ndarray]:
+    """(candidate pairs, entries of long lists) of posting lists, sorted by (shingle, size, class)."""
+    new = np.concatenate([[True], e["shingle"][1:] != e["shingle"][:-1]])
+    head = np.flatnonzero(new)
+    of = np.cumsum(new) - 1
+    size = np.diff(np.concatenate([head, [len(e)]]))[of]
+    place = np.arange(len(e)) - head[of]
+    many = size > 1
+    e, of, size, place = e[many], of[many], size[many], place[many]
+    i = np.flatnonzero(place == 0)
+    head = np.repeat(i, size[i])
+    long = size > LIST_LIMIT
+    held = []
+    for d in range(1, min(LIST_LIMIT, int(size.max(initial=1)))):
+        j = np.flatnonzero((place >= d) & ~long if d > WINDOW else place >= d)
+        held.append(_pairs(e, j - d, j, per_100))
+    for h in range(HEADS):
+        j = np.flatnonzero(long & (place > h))
+        held.append(_pairs(e, head[j] + h, j, per_100))
+    pairs = np.concatenate(held) if held else np.zeros((0, 2), np.int64)
+    return np.unique(pairs, axis=0), e[long]
 
 
 def candidates(packed: DataFrame, buckets: int, per_100: int) -> DataFrame:
     """(a, b, shingle, class, n, pos): candidate pairs of classes, and the entries of long lists (a is null)."""
 
-    def of_bucket(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        e = np.concatenate([np.frombuffer(d, ENTRY) for b in batches for d in b["data"]])
-        e = e[np.lexsort((e["class"], e["n"], e["shingle"]))]
-        same = np.zeros(len(e), bool)
-        same[1:] = (e["shingle"][1:] == e["shingle"][:-1]) & (e["class"][1:] == e["class"][:-1])
-        e = e[~same]
-        cuts = np.flatnonzero(np.concatenate([[True], e["shingle"][1:] != e["shingle"][:-1], [True]]))
-        size = np.diff(cuts)
-        held, long = [], []
-        for at, m in zip(cuts[:-1][size > 1], size[size > 1], strict=True):
-            got = list_pairs(e[at : at + m], per_100)
-            if len(got):
-                held.append(got)
-            if m > LIST_LIMIT:
-                long.append(e[at : at + m])
-        if held:
-            p = np.unique(np.concatenate(held), axis=0)
-            yield pd.DataFrame({"a": p[:, 0], "b": p[:, 1], "shingle": None, "class": None, "n": None, "pos": None})
-        for x in long:
-            yield pd.DataFrame({"a": None, "b": None, "shingle": x["shingle"].view(np.int64), "class": x["class"], "n": x["n"].astype(np.int64), "pos": x["pos"].astype(np.int64)})
-
     def of_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[int, list] = {}
         for b in batches:
             for k, d in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                kept.setdefault(k, []).append(d.as_py())
+                kept.setdefault(k, []).append(np.frombuffer(d.as_py(), ENTRY))
         for k in list(kept):
-            for out in of_bucket((k,), iter([pd.DataFrame({"data": kept.pop(k)})])):
-                yield pa.RecordBatch.from_pandas(out, schema=_CANDIDATE, preserve_index=False)
+            e = np.concatenate(kept.pop(k))
+            e = e[np.lexsort((e["class"], e["n"], e["shingle"]))]
+            again = np.zeros(len(e), bool)
+            again[1:] = (e["shingle"][1:] == e["shingle"][:-1]) & (e["class"][1:] == e["class"][:-1])
+            pairs, long = list_pairs(e[~again], per_100)
+            for at in range(0, len(pairs), ROWS):
+                p = pairs[at : at + ROWS]
+                yield _rows(p[:, 0], p[:, 1], *[None] * 4)
+            for at in range(0, len(long), ROWS):
+                x = long[at : at + ROWS]
+                yield _rows(None, None, x["shingle"].view(np.int64), x["class"], x["n"].astype(np.int64), x["pos"].astype(np.int64))
 
     return packed.repartition(buckets, "bucket").mapInArrow(of_part, "a long, b long, shingle long, class long, n long, pos long")
 
 
 _CANDIDATE = pa.schema([(n, pa.int64()) for n in ("a", "b", "shingle", "class", "n", "pos")])
-_RANGES = 16
+ROWS = 1 << 16
+
+
+def _rows(*columns: np.ndarray | None) -> pa.RecordBatch:
+    n = max(len(c) for c in columns if c is not None)
+    return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()) if c is None else pa.array(np.ascontiguousarray(c)) for c in columns], schema=_CANDIDATE)
+
+
+def signature(s: np.ndarray) -> bytes:
+    """How many elements each of 2^r equal hash ranges holds (255 at most), one or two on average."""
+    r = max(0, len(s).bit_length() - 1)
+    counts = np.bincount((s >> U64(63 - r) >> U64(1)).astype(np.int64), minlength=1 << r)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+
 
+def suffix_bound(x: bytes, y: bytes, nx: int, ny: int) -> int:
+    """An upper bound of the overlap of two sets from their signatures: as much as both hold of each range."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    if max(a.max(initial=0), b.max(initial=0)) == 255:
+        return min(nx, ny)
+    a, b = a.astype(np.int64), b.astype(np.int64)
+    m = min(len(a), len(b))
+    return int(np.minimum(a.reshape(m, -1).sum(1), b.reshape(m, -1).sum(1)).sum())
 
-def suffix_bound(a: np.ndarray, b: np.ndarray) -> int:
-    """An upper bound of the overlap from the numbers of elements in equal hash ranges."""
-    cuts = (np.arange(1, _RANGES, dtype=U64)) << U64(60)
-    x, y = np.diff(np.concatenate([[0], np.searchsorted(a, cuts), [len(a)]])), np.diff(np.concatenate([[0], np.searchsorted(b, cuts), [len(b)]]))
-    return int(np.minimum(x, y).sum())
+
+def least_overlap(na: int, nb: int, per_100: int) -> int:
+    return -(-per_100 * (na + nb) // (100 + per_100))
 
 
 def linked(a: np.ndarray, b: np.ndarray, per_100: int) -> bool:
-    least = -(-per_100 * (len(a) + len(b)) // (100 + per_100))
-    if suffix_bound(a, b) < least:
-        return False
-    return len(np.intersect1d(a, b, assume_unique=True)) >= least
+    return len(np.intersect1d(a, b, assume_unique=True)) >= least_overlap(len(a), len(b), per_100)
 
 
 def verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, per_100: int) -> DataFrame:
-    """Those pairs (a, b) of classes that link. reps: (class, doc_id, n); docs: (doc_id, text)."""
+    """Those pairs (a, b) of classes that link. reps: (class, doc_id, n, ranges); docs: (doc_id, text)."""
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y, nx, ny = b.column(2), b.column(3), b.column(4).to_pylist(), b.column(5).to_pylist()
+            ok = [suffix_bound(x[i].as_buffer(), y[i].as_buffer(), nx[i], ny[i]) >= least_overlap(nx[i], ny[i], per_100) for i in range(b.num_rows)]
+            yield b.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+
+    x, y = (reps.select(F.col("class").alias(k), F.col("ranges").alias(f"r{k}"), F.col("n").alias(f"n{k}")) for k in "ab")
+    pairs = written(pairs.join(x, "a").join(y, "b").select("a", "b", "ra", "rb", "na", "nb").mapInArrow(bounded, "a long, b long"), "bounded")
     need = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(reps.select("class", "doc_id"), "class")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,15 +287,15 @@ def verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, per_100: int) ->
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_100: int = PER_100) -> DataFrame:
     """(id_col, n_shingles, component_id): one row for each row of docs."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    first = written(docs.mapInArrow(_first_pass, "doc_id long, class long, n long, shingle long, seen long"), "shingles")
-    members = first.where("n is not null").select("doc_id", "class", "n")
+    first = written(docs.mapInArrow(_first_pass, "doc_id long, class long, n long, ranges binary, shingle long, seen long"), "shingles")
+    members = first.where("n is not null").select("doc_id", "class", "n", "ranges")
     total = members.agg(F.sum("n")).first()[0] or 0
     hot = first.where("shingle is not null").groupBy("shingle").agg(F.sum("seen").alias("seen")).where(F.col("seen") >= max(LOCAL, SHARE * total)).toPandas()  # 1 / SHARE rows at most
     hot = hot.assign(shingle=hot["shingle"].to_numpy(np.int64).view(U64)).sort_values("shingle")
     frequent = (hot["shingle"].to_numpy(U64), hot["seen"].to_numpy(np.int64)) if len(hot) else (np.array([2**64 - 1], U64), np.array([0]))
     buckets = int(max(docs.sparkSession.sparkContext.defaultParallelism, total * (100 - per_100 + 1) // 100 * ENTRY.itemsize // BUCKET_BYTES, 1))
     found = written(candidates(prefixes(docs, frequent, buckets, per_100), buckets, per_100), "candidates")
-    reps = members.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
+    reps = members.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("ranges").alias("ranges"))
     pairs = found.where("a is not null").select("a", "b").distinct()
     links = written(verify(pairs, reps, docs, per_100), "links")
     labels = components(links)
@@ -282,7 +306,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             continue
         links = links.unionByName(written(verify(more, reps, docs, per_100), "links"))
         labels = components(links)
-    named = members.join(labels.withColumnRenamed("node", "class"), "class", "left")
+    named = members.select("doc_id", "class", "n").join(labels.withColumnRenamed("node", "class"), "class", "left")
     least = named.where("n > 0").select(F.coalesce("label", "class").alias("part"), "doc_id").groupBy("part").agg(F.min("doc_id").alias("least"))
     out = named.withColumn("part", F.when(F.col("n") > 0, F.coalesce("label", "class"))).join(least, "part", "left")
     return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
