@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat_format, decontaminate, jaccard_join, url_filter
-from millrace.session import table, workers_import
+from millrace.llm import chat_format, decontaminate, jaccard_join, packing, token_store, url_filter
+from millrace.session import scratch, table, workers_import
 
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 #: A conversation whose texts hold the template's own control strings.
@@ -21,6 +22,13 @@ def literal_rows(spark: SparkSession, rows: list[tuple], *names: str) -> DataFra
     return spark.range(1, numPartitions=1).select(F.inline(made))
 
 
+def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch(spark, "tokens")
+    manifest = token_store.write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), folder, end=2)
+    back = token_store.read_documents(spark, folder, manifest)
+    return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = literal_rows(spark, URL_RULES, "host", "path", "action")
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), rules)
@@ -66,6 +74,11 @@ FROM s LEFT JOIN g ON list_sort(s.s) = g.s AND len(s.s) > 0 LEFT JOIN c ON c.nod
 """
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = packing.runs(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end=2)
+    return packing.pack(runs)
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = decontaminate.shared_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     found = decontaminate.report(spans)
@@ -123,8 +136,10 @@ FROM t GROUP BY conv_id
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_store": op1_token_store,
     "op4_url_filter": op4_url_filter,
     "op5_jaccard_join": op5_jaccard_join,
+    "op6_packing": op6_packing,
     "op9_decontaminate": op9_decontaminate,
     "op10_chat_format": op10_chat_format,
 }

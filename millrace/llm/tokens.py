@@ -74,20 +74,16 @@ class Encoder:
         return out
 
     def _learn(self, keys: list) -> None:
-        odd, fed, ended, plain = [], [], [], {}
-        for k in keys:
-            if isinstance(k, tuple) or _ODD.search(k, 1):
-                odd.append(k)
-            elif k[:1] == "\n":
-                fed.append(k)
-            elif k[-1:] in _STOPS and k[:-1].isalpha() and max(k) < "\u0250":
-                ended.append(k)
-                plain[k[:-1]] = None
-            else:
-                plain[k] = None
-        bare = [k for k in plain if k not in self.index]
-        whole = [k[0] if isinstance(k, tuple) else k if k[:1] == "\n" else " " + k for k in odd]
-        got = [e.ids for e in self.library.encode_batch_fast(whole, add_special_tokens=False)]
+        odd = [k for k in keys if k.__class__ is tuple]
+        known = [k for k in keys if k.__class__ is str]
+        if _ODD.search("".join(known).replace("\n", "")) or any("\n" in k[1:] for k in known):
+            odd += [k for k in known if _ODD.search(k, 1)]
+            known = [k for k in known if not _ODD.search(k, 1)]
+        fed = [k for k in known if k[0] == "\n"]
+        ended = [k for k in known if k[-1] in _STOPS and k[:-1].isalpha() and (k.isascii() or max(k) < "\u0250")]
+        apart = {*fed, *ended}
+        bare = [k for k in dict.fromkeys([*(k for k in known if k not in apart), *(k[:-1] for k in ended)]) if k not in self.index]
+        got = [e.ids for e in self.library.encode_batch_fast([k[0] if k.__class__ is tuple else k if k[0] == "\n" else " " + k for k in odd], add_special_tokens=False)]
         got += [[*self.feed, *ids] for ids in self._encode_each([k[1:] for k in fed])]
         got += self._encode_each([" " + k for k in bare])
         self._keep(odd + fed + bare, got)
