@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat_format, decontaminate, jaccard_join, packing, token_counts, token_store, url_filter
+from millrace.llm import chat_format, decontaminate, jaccard_join, lang_id, packing, quality_knn, token_counts, token_store, url_filter
 from millrace.session import scratch, table, workers_import
 
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -29,6 +29,17 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def id_remainder(m: int) -> Column:
+    """crc32 of doc_id as text, modulo m."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % m
+
+
+def op2_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = lang_id.train(docs.where(id_remainder(4) != 2))
+    return lang_id.identify(docs, model).select("doc_id", (id_remainder(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = literal_rows(spark, URL_RULES, "host", "path", "action")
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), rules)
@@ -84,6 +95,13 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"), F.col("fitting").alias("bytes_within_512"))
 
 
+def op8_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality_knn.train(docs, labels.where(id_remainder(5) != 0))
+    scored = quality_knn.score(docs, model)
+    return scored.select("doc_id", (id_remainder(5) == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = decontaminate.shared_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     found = decontaminate.report(spans)
@@ -142,10 +160,12 @@ FROM t GROUP BY conv_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
+    "op2_lang_id": op2_lang_id,
     "op4_url_filter": op4_url_filter,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_packing": op6_packing,
     "op7_token_counts": op7_token_counts,
+    "op8_quality_knn": op8_quality_knn,
     "op9_decontaminate": op9_decontaminate,
     "op10_chat_format": op10_chat_format,
 }
