@@ -9,12 +9,14 @@ the whole sequence). Documents of equal sets are one class; the join runs betwee
 2. Rare first: sets are ordered by (frequent, count, hash). Sets of Jaccard s or more share a shingle
    among their first n - ceil(s n) + 1. These prefixes are dealt by shingle as packed arrays, each
    class once a block.
-3. In each posting list, ordered by size, pairs pass the length filter and the positional filter. Short
-   lists give all such pairs. Lists over LIST_LIMIT entries give each entry's WINDOW predecessors and
-   the list's first HEADS entries, and are kept: once their pairs are verified and joined into
-   components, only pairs of different components are left to look at, first between a few members
-   of each component, then all of them. So no link between components is lost, and a group of
-   thousands of copies costs a few comparisons for each copy and not all its pairs.
+3. In each posting list, ordered by size, pairs pass the length filter and the positional filter; a pair
+   that also shares the shingle before this one in both prefixes is left to that list. Short lists give
+   all such pairs. Lists over LIST_LIMIT entries give each entry's WINDOW predecessors and the list's
+   first HEADS entries, and are kept: once their pairs are verified and joined into components, only
+   pairs of different components are left to look at, those of entries outside the list's largest
+   component with all others: some PARTNERS of each first, in the last round all that are still apart. So no link
+   between components is lost, and a group of thousands of copies costs a few comparisons for each
+   copy and not all its pairs.
 4. Every candidate pair is verified once: a suffix filter bounds the overlap by what both sets hold of
    each of many hash ranges; for the pairs left, the texts are read again and the exact overlap decides.
 5. Components by alternating minimum labels and pointer jumping, after a spanning forest per partition.
@@ -43,9 +45,11 @@ PER_100 = 80
 SHARE = 2e-7
 LOCAL = 3
 BLOCK_SHINGLES = 4 << 20
-LIST_LIMIT = 64
-WINDOW = 8
+LIST_LIMIT = 12
+WINDOW = 5
 HEADS = 2
+#: Partners that an entry outside its list's largest component meets in each round across components; None: all.
+PARTNERS = (32, 256, None)
 #: Bytes of packed prefixes that a task takes, about.
 BUCKET_BYTES = 8 << 20
 U64 = np.uint64
@@ -135,6 +139,7 @@ def prefixes(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], buckets:
                     p = prefix_length(n, per_100)
                     e = np.empty(p, ENTRY)
                     e["shingle"], e["class"], e["n"], e["pos"] = rare_first(s, hot, count, filt)[:p], c, n, np.arange(p)
+                    e["before"][0], e["before"][1:] = U64(c & (2**64 - 1)), e["shingle"][:-1]
                     held.append(e)
                     size += p
                 if size > 1 << 20:
@@ -155,7 +160,7 @@ def prefixes(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], buckets:
     return docs.select("text").mapInArrow(pack, "bucket int, data binary")
 
 
-ENTRY = np.dtype([("shingle", "<u8"), ("class", "<i8"), ("n", "<u4"), ("pos", "<u4")])
+ENTRY = np.dtype([("shingle", "<u8"), ("class", "<i8"), ("n", "<u4"), ("pos", "<u4"), ("before", "<u8")])
 
 
 def _pairs(e: np.ndarray, i: np.ndarray, j: np.ndarray, per_100: int) -> np.ndarray:
@@ -164,7 +169,7 @@ def _pairs(e: np.ndarray, i: np.ndarray, j: np.ndarray, per_100: int) -> np.ndar
     na, nb = a["n"].astype(np.int64), b["n"].astype(np.int64)
     least = least_overlap(na, nb, per_100)
     rest = 1 + np.minimum(na - a["pos"] - 1, nb - b["pos"] - 1)
-    ok = (100 * np.minimum(na, nb) >= per_100 * np.maximum(na, nb)) & (rest >= least) & (a["class"] != b["class"])
+    ok = (100 * np.minimum(na, nb) >= per_100 * np.maximum(na, nb)) & (rest >= least) & (a["class"] != b["class"]) & (a["before"] != b["before"])
     x, y = a["class"][ok], b["class"][ok]
     return np.stack([np.minimum(x, y), np.maximum(x, y)], 1)
 
@@ -193,7 +198,7 @@ def list_pairs(e: np.ndarray, per_100: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def candidates(packed: DataFrame, buckets: int, per_100: int) -> DataFrame:
-    """(a, b, shingle, class, n, pos): candidate pairs of classes, and the entries of long lists (a is null)."""
+    """(a, b, shingle, class, n, pos, before): candidate pairs of classes, and the entries of long lists (a is null)."""
 
     def of_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[int, list] = {}
@@ -208,15 +213,15 @@ def candidates(packed: DataFrame, buckets: int, per_100: int) -> DataFrame:
             pairs, long = list_pairs(e[~again], per_100)
             for at in range(0, len(pairs), ROWS):
                 p = pairs[at : at + ROWS]
-                yield _rows(p[:, 0], p[:, 1], *[None] * 4)
+                yield _rows(p[:, 0], p[:, 1], *[None] * 5)
             for at in range(0, len(long), ROWS):
                 x = long[at : at + ROWS]
-                yield _rows(None, None, x["shingle"].view(np.int64), x["class"], x["n"].astype(np.int64), x["pos"].astype(np.int64))
+                yield _rows(None, None, x["shingle"].view(np.int64), x["class"], x["n"].astype(np.int64), x["pos"].astype(np.int64), x["before"].view(np.int64))
 
-    return packed.repartition(buckets, "bucket").mapInArrow(of_part, "a long, b long, shingle long, class long, n long, pos long")
+    return packed.repartition(buckets, "bucket").mapInArrow(of_part, "a long, b long, shingle long, class long, n long, pos long, before long")
 
 
-_CANDIDATE = pa.schema([(n, pa.int64()) for n in ("a", "b", "shingle", "class", "n", "pos")])
+_CANDIDATE = pa.schema([(n, pa.int64()) for n in ("a", "b", "shingle", "class", "n", "pos", "before")])
 ROWS = 1 << 16
 
 
@@ -299,9 +304,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = found.where("a is not null").select("a", "b").distinct()
     links = written(verify(pairs, reps, docs, per_100), "links")
     labels = components(links)
-    lists = found.where("shingle is not null").select("shingle", "class", "n", "pos")
-    for last in (False, True):
-        more = written(across(lists, labels, per_100, last), "across")
+    lists = found.where("shingle is not null").select("shingle", "class", "n", "pos", "before")
+    for partners in PARTNERS:
+        more = written(across(lists, labels, per_100, partners), "across")
         if more.isEmpty():
             continue
         links = links.unionByName(written(verify(more, reps, docs, per_100), "links"))
@@ -312,16 +317,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
-def across(lists: DataFrame, labels: DataFrame, per_100: int, every: bool) -> DataFrame:
-    """Pairs of entries of a long list whose components differ: of all entries, or of two of each component."""
+def across(lists: DataFrame, labels: DataFrame, per_100: int, partners: int | None) -> DataFrame:
+    """Pairs of entries of a long list whose components differ: about `partners` for each entry, or all."""
     at = lists.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("part", F.coalesce("label", "class")).drop("label")
-    mixed = at.groupBy("shingle").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo != hi").select("shingle")
-    at = at.join(mixed, "shingle", "left_semi")
-    if not every:
-        few = at.groupBy("shingle", "part").agg(F.min(F.struct("n", "class", "pos")).alias("p"), F.max(F.struct("n", "class", "pos")).alias("q"))
-        at = few.select("shingle", "part", F.inline(F.array_distinct(F.array("p", "q"))))
-    x, y = at.alias("x"), at.alias("y")
+    parts = at.groupBy("shingle", "part").agg(F.count("*").alias("size"))
+    mixed = parts.groupBy("shingle").agg(F.max(F.struct("size", "part"))["part"].alias("largest"), F.sum("size").alias("size"), F.count("*").alias("parts")).where("parts > 1")
+    at = at.join(mixed.drop("parts"), "shingle")
+    x, y = at.where("part != largest").alias("x"), at.alias("y")
     na, nb = F.col("x.n"), F.col("y.n")
     near = (100 * F.least(na, nb) >= per_100 * F.greatest(na, nb)) & ((100 + per_100) * (1 + F.least(na - F.col("x.pos") - 1, nb - F.col("y.pos") - 1)) >= per_100 * (na + nb))
-    both = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.part") < F.col("y.part")) & near)
-    return both.select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")).distinct()
+    apart = (F.col("x.part") != F.col("y.part")) & (F.col("x.before") != F.col("y.before"))
+    a, b = F.least("x.class", "y.class"), F.greatest("x.class", "y.class")
+    if partners:
+        apart &= F.pmod(F.xxhash64(a, b), F.ceil(F.col("x.size") / partners)) == 0
+    both = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & apart & near)
+    return both.select(a.alias("a"), b.alias("b")).distinct()
