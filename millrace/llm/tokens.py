@@ -17,8 +17,8 @@ from itertools import chain, repeat
 
 import numpy as np
 
-#: Distinct chunks that a worker keeps; beyond that it starts anew.
-CACHE = 1_000_000
+#: Distinct chunks that a worker keeps; beyond that it drops those that came once since the last time.
+CACHE = 700_000
 _INNER = re.compile(r"[ \n](?:\s|$)")
 _ODD = re.compile(r"\s|\x01")
 _STOPS = (",", ".")
@@ -47,31 +47,49 @@ class Encoder:
         self.end = end
         self.added = [t["content"] for t in spec.get("added_tokens", [])]
         self.by_chunk = _cuts_at_spaces(spec)
+        #: Ids of a line feed: one, or none where white space is dropped.
         self.feed = self.library.encode("\n", add_special_tokens=False).ids
         self.between = "\n" if self.feed else " \x01 "
         self.mark = (self.feed or self.library.encode("\x01", add_special_tokens=False).ids)[0]
         #: A letter and a stop after it are never of one piece.
-        self.stops = {c: self.library.encode(c, add_special_tokens=False).ids for c in _STOPS}
+        stops = {c: self.library.encode(c, add_special_tokens=False).ids for c in _STOPS}
+        self.stops = {c: ids[0] for c, ids in stops.items() if len(ids) == 1}
         self._forget()
 
     def _forget(self) -> None:
         self.index: dict = {None: 0}
         self.sizes = np.zeros(1 << 12, np.int64)
         self.starts = np.zeros(1 << 12, np.int64)
+        self.hits = np.zeros(1 << 12, np.int64)
         self.pool = np.zeros(1 << 14, np.uint32)
         self.used = 0
         if self.end is not None:
             self.pool[0], self.sizes[0], self.used = self.end, 1, 1
 
-    def _encode_each(self, strings: list[str]) -> list[np.ndarray]:
-        """The ids of strings without white space but for one leading space."""
+    def _shrink(self) -> None:
+        """Keeps the chunks that came more than once, if they are few enough."""
+        hits = self.hits[: len(self.index)]
+        keys = [k for k, h in zip(self.index, hits.tolist(), strict=True) if h > 1 and k is not None]
+        at = np.flatnonzero(hits > 1)
+        at = at[at > 0]
+        sizes = self.sizes[at]
+        flat = self._gather(at)
+        self._forget()
+        if len(keys) <= CACHE // 2:
+            self._keep(keys, flat, sizes)
+
+    def _gather(self, at: np.ndarray) -> np.ndarray:
+        sizes = self.sizes[at]
+        ends = np.cumsum(sizes)
+        return self.pool[np.repeat(self.starts[at] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
+
+    def _encode_each(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, how many of each) of strings without white space but for one leading space."""
         texts = [self.between.join(strings[i : i + JOINED]) for i in range(0, len(strings), JOINED)]
-        out = []
-        for e in self.library.encode_batch_fast(texts, add_special_tokens=False):
-            ids = np.array(e.ids, np.uint32)
-            cuts = np.flatnonzero(ids == self.mark).tolist()
-            out += [ids[i:j] for i, j in zip([0, *(c + 1 for c in cuts)], [*cuts, len(ids)], strict=True)]
-        return out
+        flat = [np.array([*e.ids, self.mark], np.uint32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = np.concatenate(flat) if flat else np.zeros(0, np.uint32)
+        marks = np.flatnonzero(ids == self.mark)
+        return ids[ids != self.mark], np.diff(marks, prepend=-1) - 1
 
     def _learn(self, keys: list) -> None:
         odd = [k for k in keys if k.__class__ is tuple]
@@ -80,30 +98,36 @@ class Encoder:
             odd += [k for k in known if _ODD.search(k, 1)]
             known = [k for k in known if not _ODD.search(k, 1)]
         fed = [k for k in known if k[0] == "\n"]
-        ended = [k for k in known if k[-1] in _STOPS and k[:-1].isalpha() and (k.isascii() or max(k) < "\u0250")]
+        ended = [k for k in known if k[-1] in self.stops and k[:-1].isalpha() and (k.isascii() or max(k) < "\u0250")]
         apart = {*fed, *ended}
         bare = [k for k in dict.fromkeys([*(k for k in known if k not in apart), *(k[:-1] for k in ended)]) if k not in self.index]
         got = [e.ids for e in self.library.encode_batch_fast([k[0] if k.__class__ is tuple else k if k[0] == "\n" else " " + k for k in odd], add_special_tokens=False)]
-        got += [[*self.feed, *ids] for ids in self._encode_each([k[1:] for k in fed])]
-        got += self._encode_each([" " + k for k in bare])
-        self._keep(odd + fed + bare, got)
-        at = [self.index[k[:-1]] for k in ended]
-        heads = [self.pool[a : a + n] for a, n in zip(self.starts[at].tolist(), self.sizes[at].tolist(), strict=True)] if at else []
-        self._keep(ended, [[*h, *self.stops[k[-1]]] for h, k in zip(heads, ended, strict=True)])
-
-    def _keep(self, keys: list, got: list) -> None:
-        n, sizes = len(self.index), np.fromiter(map(len, got), np.int64, len(got))
-        self.index.update(zip(keys, range(n, n + len(keys)), strict=True))
-        if n + len(keys) > len(self.sizes):
-            grow = max(n + len(keys), 2 * len(self.sizes)) - len(self.sizes)
-            self.sizes, self.starts = np.pad(self.sizes, (0, grow)), np.pad(self.starts, (0, grow))
-        total = int(sizes.sum())
-        if self.used + total > len(self.pool):
-            self.pool = np.pad(self.pool, (0, max(self.used + total, 2 * len(self.pool)) - len(self.pool)))
-        self.sizes[n : n + len(keys)] = sizes
-        self.starts[n : n + len(keys)] = self.used + np.cumsum(sizes) - sizes
-        self.pool[self.used : self.used + total] = np.fromiter(chain.from_iterable(got), np.uint32, total)
-        self.used += total
+        self._keep(odd, np.array(list(chain.from_iterable(got)), np.uint32), np.array([len(x) for x in got], np.int64))
+        flat, sizes = self._encode_each([k[1:] for k in fed] + [" " + k for k in bare])
+        if self.feed and fed:
+            first = (np.cumsum(sizes) - sizes)[: len(fed)]
+            flat = np.insert(flat, first, self.feed[0])
+            sizes[: len(fed)] += 1
+        self._keep(fed + bare, flat, sizes)
+        if ended:
+            at = np.fromiter(map(self.index.__getitem__, [k[:-1] for k in ended]), np.int64, len(ended))
+            stop = np.fromiter((self.stops[k[-1]] for k in ended), np.uint32, len(ended))
+            sizes = self.sizes[at]
+            self._keep(ended, np.insert(self._gather(at), np.cumsum(sizes), stop), sizes + 1)
+
+    def _keep(self, keys: list, flat: np.ndarray, sizes: np.ndarray) -> None:
+        n, to = len(self.index), len(self.index) + len(keys)
+        self.index.update(zip(keys, range(n, to), strict=True))
+        if to > len(self.sizes):
+            grow = max(to, 2 * len(self.sizes)) - len(self.sizes)
+            self.sizes, self.starts, self.hits = (np.pad(x, (0, grow)) for x in (self.sizes, self.starts, self.hits))
+        if self.used + len(flat) > len(self.pool):
+            self.pool = np.pad(self.pool, (0, max(self.used + len(flat), 2 * len(self.pool)) - len(self.pool)))
+        self.sizes[n:to] = sizes
+        self.starts[n:to] = self.used + np.cumsum(sizes) - sizes
+        self.hits[n:to] = 0
+        self.pool[self.used : self.used + len(flat)] = flat
+        self.used += len(flat)
 
     def _parts(self, text: str) -> list:
         if not self.by_chunk or any(a in text for a in self.added):
@@ -118,7 +142,7 @@ class Encoder:
     def encode(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offsets of each text in them); the end id, if any, follows each text."""
         if len(self.index) > CACHE:
-            self._forget()
+            self._shrink()
         split = [self._parts(t or "") for t in texts]
         counts = np.fromiter(map(len, split), np.int64, len(split))
         parts = list(chain.from_iterable(split))
@@ -127,11 +151,9 @@ class Encoder:
         if len(new):
             self._learn(list(dict.fromkeys(parts[i] for i in new)))
             at[new] = [self.index[parts[i]] for i in new]
-        sizes = self.sizes[at]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        flat = self.pool[np.repeat(self.starts[at] - (ends - sizes), sizes) + np.arange(total)]
-        offsets = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
+        self.hits[: len(self.index)] += np.bincount(at, minlength=len(self.index))
+        flat = self._gather(at)
+        offsets = np.concatenate([[0], np.cumsum(self.sizes[at])])[np.concatenate([[0], np.cumsum(counts)])]
         return flat, offsets
 
 
