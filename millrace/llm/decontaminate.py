@@ -24,6 +24,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -184,7 +185,20 @@ def report(spans: DataFrame) -> DataFrame:
     return spans.select("doc_id", "n_words", hit.alias("n_hit"), F.array_distinct(F.transform("spans", lambda s: s["item_id"])).alias("item_ids"))
 
 
-def without_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the documents that share a run with an item."""
-    hit = shared_spans(docs, benchmark).where(F.size("spans") > 0).select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti")
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of docs that share no run with an item, with their columns: one filter a block of items."""
+    at_text = docs.columns.index(text_col)
+
+    def clean(sent: Broadcast):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for at, offsets, data in W.blocks(b.column(at_text)):
+                    keep = np.ones(len(offsets) - 1, bool)
+                    keep[[s[0] for s in sent.value.spans(W.words(data, offsets, W.ALNUM, True))]] = False
+                    yield b.slice(at, len(keep)).filter(pa.array(keep))
+
+        return run
+
+    for items in item_blocks(benchmark):
+        docs = docs.mapInArrow(clean(docs.sparkSession.sparkContext.broadcast(items)), docs.schema)
+    return docs

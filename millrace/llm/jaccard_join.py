@@ -33,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm import words as W
@@ -45,8 +45,8 @@ PER_100 = 80
 SHARE = 2e-7
 LOCAL = 3
 BLOCK_SHINGLES = 4 << 20
-LIST_LIMIT = 12
-WINDOW = 5
+LIST_LIMIT = 6
+WINDOW = 3
 HEADS = 2
 #: Partners that an entry outside its list's largest component meets in each round across components; None: all.
 PARTNERS = (32, 256, None)
@@ -317,6 +317,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
+def without_copies(docs: DataFrame, per_100: int = PER_100) -> DataFrame:
+    """One row of docs for each component: that of its least doc_id; equal rows of one doc_id are one."""
+    found = near_duplicates(docs, per_100=per_100)
+    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    kept = docs.join(stay, docs["doc_id"].eqNullSafe(stay["doc_id"]), "left_semi")
+    first = Window.partitionBy("doc_id", "text").orderBy(*(c for c in docs.columns if c not in ("doc_id", "text")), "doc_id")
+    return kept.withColumn("copy of a row", F.row_number().over(first)).where("`copy of a row` = 1").drop("copy of a row")
+
+
 def across(lists: DataFrame, labels: DataFrame, per_100: int, partners: int | None) -> DataFrame:
     """Pairs of entries of a long list whose components differ: about `partners` for each entry, or all."""
     at = lists.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("part", F.coalesce("label", "class")).drop("label")

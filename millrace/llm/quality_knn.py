@@ -140,3 +140,17 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, score double").withColumnRenamed("doc_id", id_col)
+
+
+def without_rejected(docs: DataFrame, model: Model, threshold: float, text_col: str = "text") -> DataFrame:
+    """The rows of docs that score threshold or more, with their columns."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    at_text = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at, offsets, data in W.blocks(b.column(at_text), BLOCK):
+                got = np.concatenate([sent.value.scores(c) for c in np.array_split(term_counts(data, offsets), 1 + len(offsets) // 1024)])
+                yield b.slice(at, len(got)).filter(pa.array(got >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat_format, decontaminate, jaccard_join, lang_id, packing, quality_knn, token_counts, token_store, url_filter
+from millrace.llm import chat_format, decontaminate, jaccard_join, lang_id, packing, quality_knn, quality_rules, token_counts, token_store, url_filter
 from millrace.session import scratch, table, workers_import
 
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -40,6 +40,11 @@ def op2_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.identify(docs, model).select("doc_id", (id_remainder(4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return quality_rules.judge(table(spark, sf_dir, "documents"), trusted)
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = literal_rows(spark, URL_RULES, "host", "path", "action")
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), rules)
@@ -161,6 +166,7 @@ FROM t GROUP BY conv_id
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
     "op2_lang_id": op2_lang_id,
+    "op3_quality_rules": op3_quality_rules,
     "op4_url_filter": op4_url_filter,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_packing": op6_packing,
