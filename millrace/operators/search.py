@@ -29,13 +29,14 @@ def occurrences(lines: DataFrame, pattern: str, line: str = "line") -> DataFrame
     rows = matching(lines, pattern, line)
     if pattern == "*":
         return rows.withColumn("offset", F.lit(0))
-    # a line is cut before every occurrence, overlapping ones too: each piece but perhaps the first starts one
+    # a line is cut before every occurrence, overlapping ones too: each piece starts one, the first only if the line does
     quoted = "\\Q" + pattern.replace("\\E", "\\E\\\\E\\Q") + "\\E"
     rows = rows.withColumn("_pieces", F.split(F.substring(line, 1, MATCHED), f"(?={quoted})"))
     sizes = F.transform("_pieces", F.octet_length)
     starts = F.aggregate(sizes, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
-    places = F.zip_with("_pieces", F.slice(starts, 1, F.size("_pieces")), lambda p, at: F.when(F.startswith(p, F.lit(pattern)), at))
-    return rows.withColumn("offset", F.explode(F.filter(places, lambda at: at.isNotNull()))).drop("_pieces")
+    places = F.slice(starts, 1, F.size("_pieces"))
+    places = F.when(F.startswith(line, F.lit(pattern)), places).otherwise(F.slice(places, 2, F.size("_pieces")))
+    return rows.withColumn("offset", F.explode(places)).drop("_pieces")
 
 
 def capped(hits: DataFrame, chunk: list[str], order: list[str], limit: int) -> DataFrame:
