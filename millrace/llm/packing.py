@@ -69,8 +69,8 @@ def runs(docs: DataFrame, vocabulary: str, end: int | None, capacity: int = CAPA
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = encoder(vocabulary, end)
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                flat, offsets = use.encode(b.column(1).slice(at, 256).to_pylist())
+            for at in range(0, b.num_rows, 1024):
+                flat, offsets = use.encode(b.column(1).slice(at, 1024))
                 data = memoryview(flat.astype("<u4")).cast("B")
                 size = np.diff(offsets)
                 pieces = -(-size // capacity)
@@ -82,7 +82,7 @@ def runs(docs: DataFrame, vocabulary: str, end: int | None, capacity: int = CAPA
                 a = offsets[:-1][doc] + start
                 spans = list(zip((4 * a).tolist(), (4 * (a + length)).tolist(), strict=True))
                 out = [
-                    b.column(0).slice(at, 256).take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length),
+                    b.column(0).slice(at, 1024).take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length),
                     pa.array([zlib.crc32(data[x:y]) for x, y in spans], pa.int64()),
                 ]
                 names = ["doc_id", "piece", "start", "length", "ids_crc32"]

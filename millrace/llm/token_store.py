@@ -167,8 +167,8 @@ def write_tokens(docs: DataFrame, vocabulary: str, folder: str, end: int | None,
                 continue
             shard = b.column(2)[0].as_py()
             ids.append(b.column(0).fill_null(NULL_ID).to_numpy(zero_copy_only=False))
-            for at in range(0, b.num_rows, 256):
-                flat, offsets = use.encode(b.column(1).slice(at, 256).to_pylist())
+            for at in range(0, b.num_rows, 1024):
+                flat, offsets = use.encode(b.column(1).slice(at, 1024))
                 tokens.append(flat)
                 sizes.append(np.diff(offsets))
         if shard is not None:
@@ -190,11 +190,12 @@ def read_documents(spark: SparkSession, folder: str, manifest: DataFrame) -> Dat
         for b in batches:
             for content in b.column(0):
                 f = TokenFile(content.as_py())
+                every = f.codes.range(0, f.n_tokens)  # all documents are wanted here
                 for at in range(0, f.n_docs, 4096):
                     k = range(at, min(at + 4096, f.n_docs))
                     doc = pa.array(f.doc_ids[at : at + 4096])
                     doc = pa.array([None if i == NULL_ID else i for i in doc.to_pylist()], pa.int64())
-                    out = [f.document(i) for i in k]
+                    out = [every[f.offsets[i] : f.offsets[i + 1]] for i in k]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([f.shard] * len(k), pa.int64()), doc, pa.array(f.offsets[at : at + len(k)]), pa.array([len(x) for x in out], pa.int64()), pa.array([x.astype("<u4").tobytes() for x in out], pa.binary())],
                         names=["shard", "doc_id", "within", "n_tokens", "ids"],

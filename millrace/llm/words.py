@@ -105,6 +105,16 @@ def words(data: np.ndarray, offsets: np.ndarray, word_bytes: np.ndarray, lower:
     return Words(data, offsets, h, start, stop, np.searchsorted(start, offsets))
 
 
+def run_hashes(data: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """A hash of each run of bytes between one start and the next (or the end); none is 0."""
+    size = np.diff(start, append=len(data))
+    where = np.arange(len(data)) - np.repeat(start, size) if len(start) else np.zeros(0, np.int64)
+    value = _BYTE[data]
+    value *= _power(int(where.max(initial=0)) + 1)[where]
+    h = mix(np.add.reduceat(value, start) + size.astype(U64) * U64(0xD6E8FEB86659FD93))
+    return np.where(h == 0, U64(1), h)
+
+
 _GRAM = _SEED.integers(1, 2**63, 64, dtype=U64) * U64(2) + U64(1)
 
 
