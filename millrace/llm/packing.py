@@ -1,7 +1,7 @@
 """Packing of token runs into sequences: bounded-space online best fit.
 
 A document's ids are cut into runs of CAPACITY from its end, so that only its first run may be shorter.
-Runs arrive in a hashed order. A fixed number of sequences is open; a bitset has a bit for every free
+Runs arrive in a hashed order, TURN at a time and the longest of these first. A fixed number of sequences is open; a bitset has a bit for every free
 space that some open sequence has. A run goes where it leaves least free (the lowest set bit from its
 length up). If none fits, a sequence is opened, and when BINS are open already the fullest is closed
 first. Each partition packs by itself, with PER_TASK runs, so what stays open at the end is a small
@@ -27,6 +27,8 @@ from millrace.session import written
 
 CAPACITY = 1024
 BINS = 1024
+#: Runs that arrive together, the longest first.
+TURN = 1024
 #: Runs of less than CAPACITY that one task packs, about.
 PER_TASK = 200_000
 
@@ -107,8 +109,11 @@ def pack(made: DataFrame, capacity: int = CAPACITY, bins: int = BINS) -> DataFra
             return
         part = TaskContext.get().partitionId() << 40
         t = pa.Table.from_batches(held)
-        at = list(best_fit(t.column("length").to_pylist(), capacity, bins))
-        t = t.append_column("sequence_id", pa.array([part + s for s, _ in at], pa.int64())).append_column("offset", pa.array([o for _, o in at], pa.int64()))
+        length = t.column("length").to_numpy()
+        order = np.lexsort((-length, np.arange(len(length)) // TURN))
+        at = np.empty((len(length), 2), np.int64)
+        at[order] = list(best_fit(length[order].tolist(), capacity, bins))
+        t = t.append_column("sequence_id", pa.array(part + at[:, 0])).append_column("offset", pa.array(at[:, 1]))
         yield from t.to_batches(1 << 16)
 
     dealt = made.repartition(tasks).withColumn("turn", F.xxhash64(*names)).sortWithinPartitions("turn").drop("turn")
