@@ -50,6 +50,8 @@ WINDOW = 3
 HEADS = 2
 #: Partners that an entry outside its list's largest component meets in each round across components; None: all.
 PARTNERS = (32, 256, None)
+#: Documents to verify whose ids are broadcast to the texts; for more, the texts are shuffled.
+BROADCAST_IDS = 1_000_000
 #: Bytes of packed prefixes that a task takes, about.
 BUCKET_BYTES = 8 << 20
 U64 = np.uint64
@@ -276,6 +278,8 @@ def verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, per_100: int) ->
                     out[own[i]] = s.tobytes()
             yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.binary())], names=["class", "data"])
 
+    need = written(need, "needed")
+    need = F.broadcast(need) if need.count() <= BROADCAST_IDS else need
     text = docs.join(need, docs["doc_id"].eqNullSafe(need["doc_id"])).select("class", "text")
     held = written(text.mapInArrow(sets, "class long, data binary"), "sets")
 
@@ -301,12 +305,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = int(max(docs.sparkSession.sparkContext.defaultParallelism, total * (100 - per_100 + 1) // 100 * ENTRY.itemsize // BUCKET_BYTES, 1))
     found = written(candidates(prefixes(docs, frequent, buckets, per_100), buckets, per_100), "candidates")
     reps = members.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("ranges").alias("ranges"))
+    reps = written(reps, "classes")
     pairs = found.where("a is not null").select("a", "b").distinct()
     links = written(verify(pairs, reps, docs, per_100), "links")
     labels = components(links)
     lists = found.where("shingle is not null").select("shingle", "class", "n", "pos", "before")
-    for partners in PARTNERS:
-        more = written(across(lists, labels, per_100, partners), "across")
+    for turn in range(len(PARTNERS)):
+        more = written(across(lists, labels, per_100, turn), "across")
         if more.isEmpty():
             continue
         links = links.unionByName(written(verify(more, reps, docs, per_100), "links"))
@@ -326,8 +331,8 @@ def without_copies(docs: DataFrame, per_100: int = PER_100) -> DataFrame:
     return kept.withColumn("copy of a row", F.row_number().over(first)).where("`copy of a row` = 1").drop("copy of a row")
 
 
-def across(lists: DataFrame, labels: DataFrame, per_100: int, partners: int | None) -> DataFrame:
-    """Pairs of entries of a long list whose components differ: about `partners` for each entry, or all."""
+def across(lists: DataFrame, labels: DataFrame, per_100: int, turn: int) -> DataFrame:
+    """Pairs of entries of a long list whose components differ: about PARTNERS[turn] for each entry, or all; without those of earlier turns."""
     at = lists.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("part", F.coalesce("label", "class")).drop("label")
     parts = at.groupBy("shingle", "part").agg(F.count("*").alias("size"))
     mixed = parts.groupBy("shingle").agg(F.max(F.struct("size", "part"))["part"].alias("largest"), F.sum("size").alias("size"), F.count("*").alias("parts")).where("parts > 1")
@@ -337,7 +342,9 @@ def across(lists: DataFrame, labels: DataFrame, per_100: int, partners: int | No
     near = (100 * F.least(na, nb) >= per_100 * F.greatest(na, nb)) & ((100 + per_100) * (1 + F.least(na - F.col("x.pos") - 1, nb - F.col("y.pos") - 1)) >= per_100 * (na + nb))
     apart = (F.col("x.part") != F.col("y.part")) & (F.col("x.before") != F.col("y.before"))
     a, b = F.least("x.class", "y.class"), F.greatest("x.class", "y.class")
-    if partners:
-        apart &= F.pmod(F.xxhash64(a, b), F.ceil(F.col("x.size") / partners)) == 0
+    for k, partners in enumerate(PARTNERS[: turn + 1]):
+        if partners:
+            mine = F.pmod(F.xxhash64(a, b), F.ceil(F.col("x.size") / partners)) == 0
+            apart &= mine if k == turn else ~mine
     both = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & apart & near)
     return both.select(a.alias("a"), b.alias("b")).distinct()
