@@ -8,7 +8,7 @@ the whole sequence). Documents of equal sets are one class; the join runs betwee
    frequent (1 / SHARE at most, which bounds the broadcast table).
 2. Rare first: sets are ordered by (frequent, count, hash). Sets of Jaccard s or more share a shingle
    among their first n - ceil(s n) + 1. These prefixes are dealt by shingle as packed arrays, each
-   class once a block.
+   class once a block; a shingle that counts as very frequent is dealt over several buckets.
 3. In each posting list, ordered by size, pairs pass the length filter and the positional filter; a pair
    that also shares the shingle before this one in both prefixes is left to that list. Short lists give
    all such pairs. Lists over LIST_LIMIT entries give each entry's WINDOW predecessors and the list's
@@ -50,6 +50,9 @@ WINDOW = 3
 HEADS = 2
 #: Partners that an entry outside its list's largest component meets in each round across components; None: all.
 PARTNERS = (32, 256, None)
+#: Entries of one shingle that go to one bucket, about; lists that are longer by the counts are dealt over several.
+HOT = 500_000
+_DEALT = 1 << 31
 #: Documents to verify whose ids are broadcast to the texts; for more, the texts are shuffled.
 BROADCAST_IDS = 1_000_000
 #: Bytes of packed prefixes that a task takes, about.
@@ -107,17 +110,18 @@ def _seen(u: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(u), pa.binary()), pa.array(u.view(np.int64)), pa.array(n.astype(np.int64))], schema=_FIRST)
 
 
-def rare_first(s: np.ndarray, frequent: np.ndarray, count: np.ndarray, filt: np.ndarray) -> np.ndarray:
-    """s with its frequent shingles last, in the order of their counts; s is sorted."""
+def rare_first(s: np.ndarray, frequent: np.ndarray, count: np.ndarray, filt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(s with its frequent shingles last, in the order of their counts, those counts); s is sorted."""
     maybe = filt[(s >> U64(44)).astype(np.int64)]
     if not maybe.any():
-        return s
+        return s, np.zeros(0, np.int64)
     at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
     hot = frequent[at] == s
     if not hot.any():
-        return s
+        return s, np.zeros(0, np.int64)
     last, n = s[hot], count[at[hot]]
-    return np.concatenate([s[~hot], last[np.lexsort((last, n))]])
+    order = np.lexsort((last, n))
+    return np.concatenate([s[~hot], last[order]]), n[order]
 
 
 def prefix_length(n: int, per_100: int) -> int:
@@ -133,26 +137,30 @@ def prefixes(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], buckets:
         filt = np.zeros(1 << 20, bool)
         filt[(hot >> U64(44)).astype(np.int64)] = True
         for b in batches:
-            held, known, size = [], set(), 0
+            held, salts, known, size = [], [], set(), 0
             for _, s in shingle_sets(b.column(0)):
                 n = len(s)
                 if n and (c := class_of(s)) not in known:
                     known.add(c)
                     p = prefix_length(n, per_100)
                     e = np.empty(p, ENTRY)
-                    e["shingle"], e["class"], e["n"], e["pos"] = rare_first(s, hot, count, filt)[:p], c, n, np.arange(p)
+                    order, counts = rare_first(s, hot, count, filt)
+                    e["shingle"], e["class"], e["n"], e["pos"] = order[:p], c, n, np.arange(p)
                     e["before"][0], e["before"][1:] = U64(c & (2**64 - 1)), e["shingle"][:-1]
+                    parts = np.concatenate([np.ones(n - len(counts), np.int64), 1 + counts // HOT])[:p]
+                    e["pos"][parts > 1] += np.uint32(_DEALT)
+                    salts.append(c % parts)
                     held.append(e)
                     size += p
                 if size > 1 << 20:
-                    yield deal(held)
-                    held, size = [], 0
+                    yield deal(held, salts)
+                    held, salts, size = [], [], 0
             if held:
-                yield deal(held)
+                yield deal(held, salts)
 
-    def deal(held: list[np.ndarray]) -> pa.RecordBatch:
+    def deal(held: list[np.ndarray], salts: list[np.ndarray]) -> pa.RecordBatch:
         e = np.concatenate(held)
-        to = (W.mix(e["shingle"]) % U64(buckets)).astype(np.int64)
+        to = (W.mix(e["shingle"] + np.concatenate(salts).astype(U64)) % U64(buckets)).astype(np.int64)
         order = np.argsort(to, kind="stable")
         cuts = np.searchsorted(to[order], np.arange(buckets + 1))
         full = np.flatnonzero(np.diff(cuts))
@@ -177,17 +185,21 @@ def _pairs(e: np.ndarray, i: np.ndarray, j: np.ndarray, per_100: int) -> np.ndar
 
 
 def list_pairs(e: np.ndarray, per_100: int) -> tuple[np.ndarray, np.ndarray]:
-    """(candidate pairs, entries of long lists) of posting lists, sorted by (shingle, size, class)."""
+    """(candidate pairs, entries of long lists) of posting lists, sorted by (shingle, size, class). A list that is
+    dealt over several buckets is long whatever its share here."""
+    dealt = e["pos"] >= _DEALT
+    e = e.copy()
+    e["pos"][dealt] -= np.uint32(_DEALT)
     new = np.concatenate([[True], e["shingle"][1:] != e["shingle"][:-1]])
     head = np.flatnonzero(new)
     of = np.cumsum(new) - 1
     size = np.diff(np.concatenate([head, [len(e)]]))[of]
     place = np.arange(len(e)) - head[of]
-    many = size > 1
-    e, of, size, place = e[many], of[many], size[many], place[many]
+    many = (size > 1) | dealt
+    e, of, size, place, dealt = e[many], of[many], size[many], place[many], dealt[many]
     i = np.flatnonzero(place == 0)
     head = np.repeat(i, size[i])
-    long = size > LIST_LIMIT
+    long = (size > LIST_LIMIT) | dealt
     held = []
     for d in range(1, min(LIST_LIMIT, int(size.max(initial=1)))):
         j = np.flatnonzero((place >= d) & ~long if d > WINDOW else place >= d)

@@ -73,8 +73,9 @@ def family(rng, n, size, edits):
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_near_duplicates_are_all_found(docs, seed):
+@pytest.mark.parametrize("seed, hot", [(1, 500_000), (2, 10)])
+def test_near_duplicates_are_all_found(docs, monkeypatch, seed, hot):
+    monkeypatch.setattr(jj, "HOT", hot)
     rng = random.Random(seed)
     texts = [t for size, n, edits in ((150, 60, 5), (60, 25, 2), (300, 12, 14), (12, 20, 1), (4, 5, 1)) for t in family(rng, n, size, edits)]
     passage = " ".join(f"p{i}" for i in range(40))
