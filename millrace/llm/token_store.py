@@ -11,7 +11,8 @@ A file (little-endian, .dac) has a 40-byte head (magic, levels, documents, token
 level its length (int64), chunks (bytes), bitmap (bytes) and directory (int64), and last a crc32 of all
 before it.
 
-Documents are dealt over files by ranges of (doc_id, text hash), in ascending order, and a file is
+Null text is empty and has the end id alone; repeated rows are written each, in the order of their texts.
+Extra columns are ignored; without documents there is no file. Documents are dealt over files by ranges of (doc_id, text hash), in ascending order, and a file is
 written whole under another name before it gets its own, so a repeated task leaves the same file.
 """
 
@@ -155,6 +156,8 @@ def _save(folder: str, name: str, content: bytes) -> None:
 def write_tokens(docs: DataFrame, vocabulary: str, folder: str, end: int | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes folder/tokens-NNNNNNNN.dac; (shard, docs, tokens) of each file, read from the shared folder."""
     spark = docs.sparkSession
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(at)  # without documents it stays empty
     files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(1 << 20, -(-input_bytes(docs) // FILE_BYTES)))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     dealt = rows.repartitionByRange(files, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text").withColumn("shard", F.spark_partition_id())

@@ -70,7 +70,10 @@ def test_store_round_trip(spark, docs, odd_texts):
 def test_store_of_nothing(spark, docs):
     folder = scratch(spark, "test")
     manifest = token_store.write_tokens(docs([(1, "a")]).where("false"), public_tokenizers.path(FILES[0]), folder, end=2)
-    assert manifest.count() == 0
+    assert manifest.count() == 0 and token_store.read_documents(spark, folder, manifest).count() == 0
+    none = docs([(1, "a")]).where("false")
+    assert packing.pack(packing.runs(none, public_tokenizers.path(FILES[1]), 2)).count() == 0
+    assert token_counts.prefix_counts(none, public_tokenizers.path(FILES[1]), 5).count() == 0
 
 
 @pytest.mark.parametrize("bins", [1, 4, 1024])
