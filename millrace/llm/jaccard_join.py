@@ -348,6 +348,8 @@ def across(lists: DataFrame, labels: DataFrame, per_100: int, turn: int) -> Data
     at = lists.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("part", F.coalesce("label", "class")).drop("label")
     parts = at.groupBy("shingle", "part").agg(F.count("*").alias("size"))
     mixed = parts.groupBy("shingle").agg(F.max(F.struct("size", "part"))["part"].alias("largest"), F.sum("size").alias("size"), F.count("*").alias("parts")).where("parts > 1")
+    if turn:  # every pair of a list of no more entries has been met
+        mixed = mixed.where(F.col("size") > PARTNERS[turn - 1])
     at = at.join(mixed.drop("parts"), "shingle")
     x, y = at.where("part != largest").alias("x"), at.alias("y")
     na, nb = F.col("x.n"), F.col("y.n")
