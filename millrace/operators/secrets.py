@@ -57,7 +57,7 @@ def fingerprint(value: Column, salt: str) -> Column:
 
 def preview(value: Column) -> Column:
     """The first four characters, at most a quarter of the value, and four stars."""
-    return F.concat(F.substr(value, F.lit(1), F.least(F.lit(4), F.expr("0") + F.floor(F.length(value) / 4).cast("int"))), F.lit("****"))
+    return F.concat(F.substr(value, F.lit(1), F.least(F.lit(4), F.floor(F.length(value) / 4).cast("int"))), F.lit("****"))
 
 
 def scan(docs: DataFrame, rules: list[Rule], salt: str, id_col: str = "doc_id", text_col: str = "text", source: str = "source") -> DataFrame:
