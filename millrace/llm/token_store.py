@@ -196,8 +196,8 @@ def read_documents(spark: SparkSession, folder: str, manifest: DataFrame) -> Dat
                 every = f.codes.range(0, f.n_tokens)  # all documents are wanted here
                 for at in range(0, f.n_docs, 4096):
                     k = range(at, min(at + 4096, f.n_docs))
-                    doc = pa.array(f.doc_ids[at : at + 4096])
-                    doc = pa.array([None if i == NULL_ID else i for i in doc.to_pylist()], pa.int64())
+                    own = f.doc_ids[at : at + 4096]
+                    doc = pa.array(own, pa.int64(), mask=own == NULL_ID)
                     out = [every[f.offsets[i] : f.offsets[i + 1]] for i in k]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([f.shard] * len(k), pa.int64()), doc, pa.array(f.offsets[at : at + len(k)]), pa.array([len(x) for x in out], pa.int64()), pa.array([x.astype("<u4").tobytes() for x in out], pa.binary())],
