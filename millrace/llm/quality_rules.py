@@ -120,4 +120,7 @@ def judge(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, who
 
 def without_rejected(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that are kept, with their columns."""
-    return judge(docs, trusted, threshold, whole=True).where("kept").select("row.*")
+    # pushed below the projections, the filter would work out every expression under `kept` anew at each mention;
+    # it stays above a column that is not deterministic
+    judged = judge(docs, trusted, threshold, whole=True).withColumn("at", F.monotonically_increasing_id())
+    return judged.where("kept AND at >= 0").select("row.*")
