@@ -81,8 +81,14 @@ def class_of(s: np.ndarray) -> int:
 
 
 def _frequent_of(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    u, n = np.unique(np.concatenate(sets), return_counts=True)
-    return u[n >= LOCAL], n[n >= LOCAL]
+    """(shingles of LOCAL sets or more, their counts); empties the list, and works in little more than one copy."""
+    s = np.concatenate(sets)
+    sets.clear()
+    s.sort()
+    start = np.flatnonzero(s[: len(s) - LOCAL + 1] == s[LOCAL - 1 :])
+    start = start[(start == 0) | (s[start - 1] != s[start])]
+    u = s[start]
+    return u, np.searchsorted(s, u, "right") - start
 
 
 _FIRST = pa.schema([("doc_id", pa.int64()), ("class", pa.int64()), ("n", pa.int64()), ("ranges", pa.binary()), ("shingle", pa.int64()), ("seen", pa.int64())])

@@ -20,8 +20,8 @@ import pyarrow as pa
 from millrace.llm import words as W
 
 #: Distinct chunks that a worker keeps; beyond that it drops those that came once since the last time.
-CACHE = 1_000_000
-_SLOTS = 1 << 22
+CACHE = 500_000
+_SLOTS = 1 << 21
 _ODD = re.compile(r"\s|\x01")
 _STOPS = (",", ".")
 #: Chunks that the library gets in one text.
