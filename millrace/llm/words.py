@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 U64 = np.uint64
 _SEED = np.random.default_rng(20240131)
 _BYTE = _SEED.integers(1, 2**63, 256, dtype=U64) * U64(2) + U64(1)
