@@ -21,6 +21,7 @@ from millrace.llm import words as W
 
 #: Distinct chunks that a worker keeps; beyond that it drops those that came once since the last time.
 CACHE = 500_000
+#: Slots of an empty table; a block with more new chunks than half of them makes it larger for as long as it holds them.
 _SLOTS = 1 << 21
 _ODD = re.compile(r"\s|\x01")
 _STOPS = (",", ".")
@@ -79,6 +80,7 @@ class Encoder:
 
     def _forget(self) -> None:
         self.slot_key, self.slot_at = np.zeros(_SLOTS, U64), np.zeros(_SLOTS, np.int32)
+        self.slots_used = 0
         self.n = 1  # entry 0 is the end
         self.key = np.zeros(1 << 12, U64)
         self.sizes = np.zeros(1 << 12, np.int64)
@@ -106,13 +108,14 @@ class Encoder:
         """The entry of each key, or -1."""
         out = np.full(len(keys), -1, np.int64)
         left = np.arange(len(keys))
-        slot = (keys & U64(_SLOTS - 1)).astype(np.int64)
+        last = len(self.slot_key) - 1
+        slot = (keys & U64(last)).astype(np.int64)
         while len(left):
             there = self.slot_key[slot]
             same = there == keys[left]
             out[left[same]] = self.slot_at[slot[same]]
             on = ~same & (there != 0)
-            left, slot = left[on], (slot[on] + 1) & (_SLOTS - 1)
+            left, slot = left[on], (slot[on] + 1) & last
         return out
 
     def _keep(self, keys: np.ndarray, flat: np.ndarray, sizes: np.ndarray) -> None:
@@ -131,7 +134,19 @@ class Encoder:
         self.used += len(flat)
         self.n = to
         at = np.arange(n, to)[keys != 0]
-        slot = (self.key[at] & U64(_SLOTS - 1)).astype(np.int64)
+        self.slots_used += len(at)
+        slots = len(self.slot_key)
+        while 2 * self.slots_used > slots:
+            slots *= 2
+        if slots > len(self.slot_key):
+            self.slot_key, self.slot_at = np.zeros(slots, U64), np.zeros(slots, np.int32)
+            at = np.flatnonzero(self.key[:to])
+        self._place(at)
+
+    def _place(self, at: np.ndarray) -> None:
+        """Finds a slot for each of these entries; fewer than half of the slots are taken, so one is free."""
+        last = len(self.slot_key) - 1
+        slot = (self.key[at] & U64(last)).astype(np.int64)
         while len(at):
             free = self.slot_key[slot] == 0
             _, first = np.unique(slot, return_index=True)
@@ -139,7 +154,7 @@ class Encoder:
             wins[first] = True
             wins &= free
             self.slot_key[slot[wins]], self.slot_at[slot[wins]] = self.key[at[wins]], at[wins]
-            at, slot = at[~wins], (slot[~wins] + ~free[~wins]) & (_SLOTS - 1)
+            at, slot = at[~wins], (slot[~wins] + ~free[~wins]) & last
 
     def _each(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, how many of each) of strings without white space but for one leading space."""

@@ -1,3 +1,4 @@
+import signal
 import zlib
 
 import numpy as np
@@ -34,6 +35,27 @@ def test_a_full_table_starts_anew(monkeypatch, odd_texts):
         assert [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == [[*x, 2] for x in library(FILES[1], odd_texts[i : i + 60])]
 
 
+@pytest.mark.parametrize("name", FILES)
+def test_a_block_of_more_chunks_than_slots(monkeypatch, odd_texts, name):
+    monkeypatch.setattr(tk, "_SLOTS", 16)
+    use = tk.Encoder(public_tokenizers.path(name), 2)
+    text = " ".join(f"{i}, word{i}." for i in range(3000))
+
+    def too_long(*_):
+        raise TimeoutError("no slot is free")
+
+    old = signal.signal(signal.SIGALRM, too_long)
+    signal.alarm(60)
+    try:
+        for texts in ([text], odd_texts, [text, "a b"]):
+            ids, at = use.encode(texts)
+            assert [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == [[*x, 2] for x in library(name, texts)]
+    finally:
+        signal.alarm(0)
+        signal.signal(signal.SIGALRM, old)
+    assert 2 * use.slots_used <= len(use.slot_key)
+
+
 @pytest.mark.parametrize("top", [2, 200, 60_000, 2**32 - 1])
 def test_directly_addressable_codes(top):
     rng = np.random.default_rng(top)
