@@ -5,7 +5,8 @@ Runs arrive in a hashed order, TURN at a time and the longest of these first. A
 space that some open sequence has. A run goes where it leaves least free (the lowest set bit from its
 length up). If none fits, a sequence is opened, and when BINS are open already the fullest is closed
 first. Each partition packs by itself, with PER_TASK runs, so what stays open at the end is a small
-share; runs are dealt evenly whatever their ids or texts.
+share; runs are dealt evenly whatever their ids or texts. A run of CAPACITY is a sequence of its own: it
+stays in the partition it was read in and no task holds it.
 
 Defined results: null text is empty (its run is the end id alone); without an end id an empty document
 has no run. Equal rows are packed each. Extra columns are ignored.
@@ -31,6 +32,8 @@ BINS = 1024
 TURN = 1024
 #: Runs of less than CAPACITY that one task packs, about.
 PER_TASK = 200_000
+#: Sequences of one run of CAPACITY are numbered from here.
+FULL = 1 << 62
 
 
 def best_fit(lengths: Iterable[int], capacity: int = CAPACITY, bins: int = BINS) -> Iterator[tuple[int, int]]:
@@ -99,7 +102,8 @@ def runs(docs: DataFrame, vocabulary: str, end: int | None, capacity: int = CAPA
 def pack(made: DataFrame, capacity: int = CAPACITY, bins: int = BINS) -> DataFrame:
     """made (of runs(), or any table with a length) with sequence_id and offset. The runs are written once."""
     made = written(made, "runs")
-    tasks = 1 + made.where(F.col("length") < capacity).count() // PER_TASK
+    shorter = made.where(F.col("length") < capacity)
+    tasks = 1 + shorter.count() // PER_TASK
     names = made.columns
     schema = made.select("*", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset")).schema
 
@@ -116,8 +120,10 @@ def pack(made: DataFrame, capacity: int = CAPACITY, bins: int = BINS) -> DataFra
         t = t.append_column("sequence_id", pa.array(part + at[:, 0])).append_column("offset", pa.array(at[:, 1]))
         yield from t.to_batches(1 << 16)
 
-    dealt = made.repartition(tasks).withColumn("turn", F.xxhash64(*names)).sortWithinPartitions("turn").drop("turn")
-    return dealt.mapInArrow(place, schema)
+    dealt = shorter.repartition(tasks).withColumn("turn", F.xxhash64(*names)).sortWithinPartitions("turn").drop("turn")
+    own = (F.lit(FULL) + F.monotonically_increasing_id()).alias("sequence_id")
+    full = made.where(F.col("length") == capacity).select("*", own, F.lit(0).cast("long").alias("offset"))
+    return dealt.mapInArrow(place, schema).unionByName(full)
 
 
 def sequences(docs: DataFrame, vocabulary: str, end: int | None, capacity: int = CAPACITY) -> DataFrame:

@@ -4,6 +4,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from millrace.llm import packing, token_counts, token_store
@@ -128,6 +129,15 @@ def test_packing(spark, docs, odd_texts):
     assert sum(len(r.ids) for r in made) == 4 * sum(len(ids[r]) for r in rows[:50])
 
 
+def test_full_runs_are_not_dealt(spark):
+    made = spark.range(5000).select("id", F.when(F.col("id") % 1000 == 0, 7).otherwise(1024).cast("long").alias("length"))
+    got = packing.pack(made).select("*", F.spark_partition_id().alias("part")).toPandas()
+    assert sorted(got.id) == list(range(5000)) and got[got.length == 1024].sequence_id.is_unique
+    full, rest = got[got.length == 1024], got[got.length < 1024]
+    assert (full.offset == 0).all() and not set(full.sequence_id) & set(rest.sequence_id)
+    assert len(full) == 4995 and not set(full.part) & set(rest.part)
+
+
 def test_every_prefix_is_counted(odd_texts):
     path = public_tokenizers.path(FILES[1])
     use, t = token_counts.PrefixCounter(path), Tokenizer.from_file(path)
