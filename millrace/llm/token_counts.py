@@ -269,3 +269,27 @@ def prefix_counts(docs: DataFrame, vocabulary: str, budget: int, store: bool = T
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(count, "doc_id long, n_bytes long, n_tokens long, fitting long" + ", table binary" * store)
+
+
+def store_tables(docs: DataFrame, vocabulary: str, folder: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_bytes, table) of every document, written to a folder and read from there."""
+    made = prefix_counts(docs, vocabulary, 1 << 62, id_col=id_col, text_col=text_col).select("doc_id", "n_bytes", "table")
+    made.write.option("compression", "zstd").parquet(folder)
+    return docs.sparkSession.read.schema(made.schema).parquet(folder)
+
+
+def counts_of_tables(stored: DataFrame, budget: int) -> DataFrame:
+    """(doc_id, n_bytes, n_tokens, fitting) as prefix_counts has them, from stored tables alone."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            total, fitting = [], []
+            for t in b.column(2):
+                own = np.frombuffer(t.as_buffer(), "<u4")
+                n = tokens_within(own, len(own))
+                total.append(n)
+                fitting.append(len(own) if n <= budget else longest_within(own, budget))
+            out = [b.column(0), b.column(1), pa.array(total, pa.int64()), pa.array(fitting, pa.int64())]
+            yield pa.RecordBatch.from_arrays(out, names=["doc_id", "n_bytes", "n_tokens", "fitting"])
+
+    return stored.select("doc_id", "n_bytes", "table").mapInArrow(count, "doc_id long, n_bytes long, n_tokens long, fitting long")

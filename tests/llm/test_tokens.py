@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from millrace.llm import packing, token_counts, token_store
+from millrace.llm import packing, queries, token_counts, token_store
 from millrace.llm import tokens as tk
 from millrace.session import scratch
 
@@ -157,3 +157,15 @@ def test_counts_and_budgets(docs, odd_texts):
         table = np.frombuffer(r.table, "<u4")
         assert len(table) == r.n_bytes and (r.fitting == r.n_bytes) == (len(x) <= 10 or r.fitting == r.n_bytes)
         assert r.fitting == 0 or table[r.fitting - 1] <= 10
+
+
+def test_the_query_stores_every_table(spark, small, monkeypatch, tmp_path):
+    monkeypatch.setattr(queries, "scratch", lambda *_: f"{tmp_path}/tables")
+    got = {r.doc_id: r for r in queries.op7_token_counts(spark, small).collect()}
+    stored = spark.read.parquet(f"{tmp_path}/tables").collect()
+    want = token_counts.prefix_counts(spark.read.parquet(f"{small}/documents.parquet"), public_tokenizers.path(FILES[1]), 512, store=False).collect()
+    assert len(stored) == len(got) == len(want) and all(len(r.table) == 4 * r.n_bytes for r in stored)
+    assert {r.doc_id: (r.n_bytes, r.n_tokens, r.bytes_within_512) for r in got.values()} == {r.doc_id: (r.n_bytes, r.n_tokens, r.fitting) for r in want}
+    for r in stored:
+        table = np.frombuffer(r.table, "<u4")
+        assert got[r.doc_id].n_tokens == (table[-1] if len(table) else 0)
