@@ -33,6 +33,8 @@ def new_run_id(now: datetime | None = None) -> str:
 class Library:
     def __init__(self, spark: SparkSession, folder: str, keys: list[str], version: int = KEY_VERSION) -> None:
         self.spark, self.folder, self.keys, self.version = spark, folder.rstrip("/"), keys, version
+        #: Parts that the last rebuild() could not read and left out.
+        self.corrupt: list[str] = []
 
     def _runs(self, what: str) -> list[str]:
         system, path = _path(self.spark, f"{self.folder}/{what}")
@@ -60,24 +62,48 @@ class Library:
         data, keyed = self.runs(), set(self._runs("keys"))
         if not data:
             return {}
-        n = {r.run_id: r.n for r in self.data().groupBy(F.col("run_id").cast("string").alias("run_id")).agg(F.count("*").alias("n")).collect()}  # a row a run
+        rows = self.spark.read.schema("run_id string").option("ignoreCorruptFiles", "true").parquet(f"{self.folder}/data")
+        n = {r.run_id: r.n for r in rows.groupBy("run_id").agg(F.count("*").alias("n")).collect()}  # a row a run
         k: dict[str, tuple[int, int]] = {}
         if keyed:
             got = self.key_table().groupBy("run_id").agg(F.count("*").alias("n"), F.min("key_version").alias("lo"), F.max("key_version").alias("hi")).collect()
             k = {r.run_id: (r.n, r.lo if r.lo == r.hi else -1) for r in got}
         return {r: "missing" if r not in keyed else "fresh" if k.get(r) == (n.get(r), self.version) else "stale" for r in data}
 
-    def _write_keys(self, run_id: str) -> None:
-        rows = self.spark.read.parquet(f"{self.folder}/data/run_id={run_id}")
+    def _parts(self, run_id: str) -> list[str]:
+        system, path = _path(self.spark, f"{self.folder}/data/run_id={run_id}")
+        found = [s.getPath() for s in system.listStatus(path) if s.isFile()]
+        return sorted(p.toString() for p in found if not p.getName().startswith(("_", ".")))
+
+    def _readable(self, part: str) -> bool:
+        """Whether every column of a part can be read to its end."""
+        try:
+            rows = self.spark.read.option("ignoreCorruptFiles", "false").parquet(part)
+            rows.agg(F.max(F.xxhash64(*rows.columns))).collect()
+        except Exception as e:  # Spark has no error of its own for this
+            if "FAILED_READ_FILE" not in str(e) and "CANNOT_READ_FILE" not in str(e) and "not a Parquet file" not in str(e):
+                raise
+            return False
+        return True
+
+    def _write_keys(self, run_id: str, parts: list[str] | None = None) -> None:
+        rows = self.spark.read.parquet(*(parts or [f"{self.folder}/data/run_id={run_id}"]))
         keyed = rows.select(F.xxhash64(*self.keys).alias("key_hash"), *self.keys, F.lit(self.version).alias("key_version"))
         keyed.repartitionByRange("key_hash").sortWithinPartitions("key_hash").write.mode("overwrite").option("compression", "zstd").parquet(f"{self.folder}/keys/run_id={run_id}")
 
     def rebuild(self) -> list[str]:
-        """Makes the keys of runs that lack them or have stale ones; returns those runs."""
-        todo = [r for r, state in self.classify().items() if state != "fresh"]
+        """Makes the keys of runs that lack them or have stale ones; returns those runs. Parts that can't be read
+        are left out and listed in `corrupt`; a run of nothing else gets no keys and is not returned."""
+        todo, made = [r for r, state in self.classify().items() if state != "fresh"], []
+        self.corrupt = []
         for run_id in todo:
-            self._write_keys(run_id)
-        return todo
+            parts = self._parts(run_id)
+            good = [p for p in parts if self._readable(p)]
+            self.corrupt += sorted(set(parts) - set(good))
+            if good:
+                self._write_keys(run_id, good)
+                made.append(run_id)
+        return made
 
     def sweep(self) -> list[str]:
         """Removes the keys of runs without data; returns those runs."""

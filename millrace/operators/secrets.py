@@ -98,6 +98,12 @@ def merge_stats(old: DataFrame, matches: DataFrame) -> DataFrame:
     return per.agg(F.count_if(~known).alias("n_new"), F.count_if(known).alias("n_existing"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("n_duplicate"))
 
 
+def scan_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """One row: texts that scan() scans, and scans it skips because an equal text is scanned already."""
+    n = F.countDistinct(F.sha2(text_col, 256))
+    return docs.agg(n.alias("n_scanned"), (F.count(text_col) - n).alias("n_skipped_scans"))
+
+
 def query(found: DataFrame, kind: str | None = None, since: Column | None = None, limit: int | None = None) -> DataFrame:
     """Findings whose rule id or name holds `kind`, last seen at `since` or later; newest first, then by rule and fingerprint."""
     out = found.where(S.like_filter(F.col("rule_id"), kind) | S.like_filter(F.col("rule_name"), kind))
