@@ -33,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm import words as W
@@ -311,8 +311,8 @@ def verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, per_100: int) ->
     return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_100: int = PER_100) -> DataFrame:
-    """(id_col, n_shingles, component_id): one row for each row of docs."""
+def _candidates_of(docs: DataFrame, id_col: str, text_col: str, per_100: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(docs as doc_id and text, their classes, a representative of each class, candidates)."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     first = written(docs.mapInArrow(_first_pass, "doc_id long, class long, n long, ranges binary, shingle long, seen long"), "shingles")
     members = first.where("n is not null").select("doc_id", "class", "n", "ranges")
@@ -323,7 +323,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = int(max(docs.sparkSession.sparkContext.defaultParallelism, total * (100 - per_100 + 1) // 100 * ENTRY.itemsize // BUCKET_BYTES, 1))
     found = written(candidates(prefixes(docs, frequent, buckets, per_100), buckets, per_100), "candidates")
     reps = members.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("ranges").alias("ranges"))
-    reps = written(reps, "classes")
+    return docs, members, written(reps, "classes"), found
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_100: int = PER_100) -> DataFrame:
+    """(id_col, n_shingles, component_id): one row for each row of docs."""
+    docs, members, reps, found = _candidates_of(docs, id_col, text_col, per_100)
     pairs = found.where("a is not null").select("a", "b").distinct()
     links = written(verify(pairs, reps, docs, per_100), "links")
     labels = components(links)
@@ -340,6 +345,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
+def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_100: int = PER_100) -> tuple[DataFrame, DataFrame]:
+    """((a, b) of every two classes that link, a < b; (id_col, class) of every row with a word). Rows of one class link
+    too. No link is left out, so a long list costs all its pairs that pass the filters."""
+    docs, members, reps, found = _candidates_of(docs, id_col, text_col, per_100)
+    at = found.where("shingle is not null").select("shingle", "class", "n", "pos", "before")
+    x, y = at.alias("x"), at.alias("y")
+    both = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.class") < F.col("y.class")) & (F.col("x.before") != F.col("y.before")) & _near(per_100))
+    pairs = found.where("a is not null").select("a", "b").unionByName(both.select(F.col("x.class").alias("a"), F.col("y.class").alias("b")))
+    return verify(pairs.distinct(), reps, docs, per_100), members.where("n > 0").select(F.col("doc_id").alias(id_col), "class")
+
+
 def without_copies(docs: DataFrame, per_100: int = PER_100) -> DataFrame:
     """One row of docs for each component: that of its least doc_id; equal rows of one doc_id are one."""
     found = near_duplicates(docs, per_100=per_100)
@@ -349,6 +365,12 @@ def without_copies(docs: DataFrame, per_100: int = PER_100) -> DataFrame:
     return kept.withColumn("copy of a row", F.row_number().over(first)).where("`copy of a row` = 1").drop("copy of a row")
 
 
+def _near(per_100: int) -> Column:
+    """Whether entries x and y of a list pass the length and positional filters."""
+    na, nb = F.col("x.n"), F.col("y.n")
+    return (100 * F.least(na, nb) >= per_100 * F.greatest(na, nb)) & ((100 + per_100) * (1 + F.least(na - F.col("x.pos") - 1, nb - F.col("y.pos") - 1)) >= per_100 * (na + nb))
+
+
 def across(lists: DataFrame, labels: DataFrame, per_100: int, turn: int) -> DataFrame:
     """Pairs of entries of a long list whose components differ: about PARTNERS[turn] for each entry, or all; without those of earlier turns."""
     at = lists.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("part", F.coalesce("label", "class")).drop("label")
@@ -358,13 +380,11 @@ def across(lists: DataFrame, labels: DataFrame, per_100: int, turn: int) -> Data
         mixed = mixed.where(F.col("size") > PARTNERS[turn - 1])
     at = at.join(mixed.drop("parts"), "shingle")
     x, y = at.where("part != largest").alias("x"), at.alias("y")
-    na, nb = F.col("x.n"), F.col("y.n")
-    near = (100 * F.least(na, nb) >= per_100 * F.greatest(na, nb)) & ((100 + per_100) * (1 + F.least(na - F.col("x.pos") - 1, nb - F.col("y.pos") - 1)) >= per_100 * (na + nb))
     apart = (F.col("x.part") != F.col("y.part")) & (F.col("x.before") != F.col("y.before"))
     a, b = F.least("x.class", "y.class"), F.greatest("x.class", "y.class")
     for k, partners in enumerate(PARTNERS[: turn + 1]):
         if partners:
             mine = F.pmod(F.xxhash64(a, b), F.ceil(F.col("x.size") / partners)) == 0
             apart &= mine if k == turn else ~mine
-    both = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & apart & near)
+    both = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & apart & _near(per_100))
     return both.select(a.alias("a"), b.alias("b")).distinct()

@@ -90,6 +90,24 @@ def test_near_duplicates_are_all_found(docs, monkeypatch, seed, hot):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, _, c in near_groups(rows)})
 
 
+@pytest.mark.parametrize("hot", [500_000, 10])
+def test_every_link_between_texts_is_given(docs, monkeypatch, hot):
+    monkeypatch.setattr(jj, "HOT", hot)
+    rng = random.Random(4)
+    texts = [t for size, n, edits in ((150, 60, 5), (60, 25, 2), (12, 20, 1)) for t in family(rng, n, size, edits)] + ["one", "ONE", "", None]
+    base = [f"w{i}" for i in range(150)]
+    texts += [" ".join(f"v{rng.random()}" if k in edits else w for k, w in enumerate(base)) for edits in (rng.sample(range(150), rng.randint(0, 2)) for _ in range(60))]
+    sets = [shingles(t) for t in texts]
+    pairs, members = jj.links(docs(list(enumerate(texts))))
+    of = {r.doc_id: r["class"] for r in members.collect()}
+    assert set(of) == {i for i, s in enumerate(sets) if s}
+    want = {tuple(sorted((of[i], of[j]))) for i in of for j in of if i < j and sets[i] != sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    assert all((of[i] == of[j]) == (sets[i] == sets[j]) for i in of for j in of)
+    got = [tuple(r) for r in pairs.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert len(want) > 500
+
+
 def test_near_duplicates_of_odd_tables(docs):
     assert jj.near_duplicates(docs([(1, "x")]).where("false")).count() == 0
     got = jj.near_duplicates(docs([(1, "a"), (1, "a"), (None, "b"), (2, "b")])).collect()
