@@ -56,13 +56,32 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+#: Bytes of an Arrow batch that goes to a Python worker (one row at least): it is held several times, on both sides.
+BATCH_BYTES = 4 << 20
+#: A worker has one core, so libraries start no threads of their own, and what is freed goes back to the machine:
+#: workers live on from stage to stage, beside a JVM that keeps its heap.
+WORKER_ENV = {
+    "TOKENIZERS_PARALLELISM": "false",
+    "ARROW_DEFAULT_MEMORY_POOL": "system",
+    "MALLOC_ARENA_MAX": "2",
+    "MALLOC_MMAP_THRESHOLD_": str(16 << 20),
+    "MALLOC_TRIM_THRESHOLD_": str(16 << 20),
+}
+
+
 def workers_import(spark: SparkSession) -> None:
-    """Lets Python workers of a single-machine session import this package from where the driver has it."""
+    """Makes the session's Python workers ready: they import this package from where the driver has it (single-machine
+    sessions), get bounded batches, and hold no more memory than they use. What the user has set stays."""
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in paths:
         env["PYTHONPATH"] = os.pathsep.join([*paths, root])
+    for name, value in WORKER_ENV.items():
+        env.setdefault(name, value)
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(limit, "64m") in ("67108864b", "64m"):
+        spark.conf.set(limit, str(BATCH_BYTES))
 
 
 def input_bytes(df: DataFrame) -> int:
