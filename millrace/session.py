@@ -53,7 +53,18 @@ def written(df: DataFrame, what: str) -> DataFrame:
     path = scratch(spark, what)
     schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Removes tables of written() that nothing reads any more, before the driver ends."""
+    for df in tables:
+        path = getattr(df, "_written_at", None)
+        if path in _made:
+            remove(df.sparkSession, path)
+            _made.remove(path)
 
 
 #: Bytes of an Arrow batch that goes to a Python worker (one row at least): it is held several times, on both sides.
@@ -85,8 +96,9 @@ def workers_import(spark: SparkSession) -> None:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the bytes that df reads; no job runs."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Catalyst's estimate of the bytes that df reads, 0 if it has none; no job runs."""
+    found = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return found if found < 1 << 60 else 0
 
 
 @atexit.register
