@@ -33,8 +33,8 @@ RANK = 64
 SAMPLE = 4000
 NEIGHBOURS = 15
 SHARP = 4
-#: Bytes of text that a block holds; a block's dense matrix has as many rows as the block has texts.
-BLOCK = 1 << 20
+#: Bytes (one text at least) and texts of a block; its dense matrix has a row for each text.
+BLOCK, ROWS = 1 << 20, 512
 PRIOR = 0.05
 _CLASS = np.array([ord("A") if 65 <= b <= 90 else ord("a") if 97 <= b <= 122 or b >= 128 else ord("0") if 48 <= b <= 57 else b for b in range(256)], np.uint8)
 _SPACE = ~W.NOT_SPACE
@@ -43,11 +43,12 @@ _SPACE = ~W.NOT_SPACE
 def term_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """texts x TERMS counts of hashed terms."""
     n = len(offsets) - 1
-    out = np.zeros(n * TERMS, np.int64)
+    out = np.zeros(n * TERMS, np.int32)
 
     def add(w: W.Words, h: np.ndarray, salt: int, text: np.ndarray | None = None) -> None:
         column = (W.mix(h ^ W.U64(salt)) % W.U64(TERMS)).astype(np.int64)
-        out[:] += np.bincount((w.text_of_word() if text is None else text) * TERMS + column, minlength=n * TERMS)
+        cell, times = np.unique((w.text_of_word() if text is None else text) * TERMS + column, return_counts=True)
+        out[cell] += times.astype(np.int32)
 
     lower = W.words(data, offsets, W.ALNUM, True)
     add(lower, lower.hash, 1)
@@ -112,7 +113,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at, offsets, data in W.blocks(b.column(2), BLOCK):
+            for at, offsets, data in W.blocks(b.column(2), BLOCK, ROWS):
                 c = term_counts(data, offsets)
                 cells = [np.flatnonzero(r) for r in c]
                 n = len(c)
@@ -134,8 +135,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at, offsets, data in W.blocks(b.column(1), BLOCK):
-                got = np.concatenate([sent.value.scores(c) for c in np.array_split(term_counts(data, offsets), 1 + len(offsets) // 1024)])
+            for at, offsets, data in W.blocks(b.column(1), BLOCK, ROWS):
+                got = sent.value.scores(term_counts(data, offsets))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(got)), pa.array(got)], names=["doc_id", "score"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -149,8 +150,8 @@ def without_rejected(docs: DataFrame, model: Model, threshold: float, text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at, offsets, data in W.blocks(b.column(at_text), BLOCK):
-                got = np.concatenate([sent.value.scores(c) for c in np.array_split(term_counts(data, offsets), 1 + len(offsets) // 1024)])
+            for at, offsets, data in W.blocks(b.column(at_text), BLOCK, ROWS):
+                got = sent.value.scores(term_counts(data, offsets))
                 yield b.slice(at, len(got)).filter(pa.array(got >= threshold))
 
     return docs.mapInArrow(run, docs.schema)

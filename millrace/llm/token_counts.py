@@ -9,7 +9,9 @@ prefix is encoded again. Which pairs fit is found once from the merge ranks and
 A prefix of a text is cut like the text but at three places, which are put right: white space that
 ends a prefix is one piece; the inside of a contraction is an apostrophe and letters; the inside of an
 added token's string is ordinary text. A prefix that ends inside a character counts the tokens of its
-bytes. Each distinct piece is worked out once per worker; its table is bounded.
+bytes. Each distinct piece is worked out once per worker; its table is bounded. In a piece of more than LONG
+bytes the tokens that end at each place come from one automaton over the vocabulary, so the time is linear
+in the piece and in the tokens that occur in it.
 
 Defined results: null text is empty and has 0 tokens; repeated rows each get a row; extra columns are
 ignored; texts may have any length (time is linear in it).
@@ -28,13 +30,19 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm import words as W
+
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 CONTRACTIONS = ("'re", "'ve", "'ll", "'s", "'t", "'m", "'d")
 #: Characters about which the two regular expression libraries may know different versions of Unicode.
 BEYOND = regex.compile("[\U00010000-\U0010ffff]")
-RUN = regex.compile(r"\s{2,}(?=\S)")
-#: Distinct pieces, and pairs of tokens, that a worker keeps.
-PIECES, PAIRS = 1_000_000, 4_000_000
+RUN = regex.compile(r"\s{2,}+")
+#: Distinct pieces, bytes of their tables' entries, and pairs of tokens, that a worker keeps.
+PIECES, ENTRIES, PAIRS = 500_000, 8_000_000, 1_000_000
+#: Pieces of more bytes go through the automaton.
+LONG = 512
+#: Texts, and their bytes (one text at least), that are worked on together.
+TEXTS, TEXT_BYTES = 256, 1 << 20
 
 
 def byte_letters() -> dict[str, int]:
@@ -64,6 +72,7 @@ class PrefixCounter:
         self.library = Tokenizer.from_file(path)
         self.cut_added = regex.compile("(" + "|".join(map(regex.escape, self.added)) + ")") if self.added else None
         self.fits: dict[int, bool] = {}
+        self._automaton = None
         self._forget()
 
     def _forget(self) -> None:
@@ -104,10 +113,12 @@ class PrefixCounter:
     def piece(self, data: bytes, known: tuple[list[int], list[int]] | None = None, shared: int = 0) -> tuple[list[int], list[int]]:
         """(last, count): last token and number of tokens of every prefix of one piece; known holds them up to shared."""
         n = len(data)
+        if n > LONG:
+            return self._long_piece(data)
         last, count = known[0][: shared + 1] if known else [-1], known[1][: shared + 1] if known else [0]
         ids, fits, longest = self.ids, self.fits, self.longest
         for i in range(len(last), n + 1):
-            t = ids.get(data[:i])
+            t = ids.get(data[:i]) if i <= longest else None
             if t is not None:
                 last.append(t)
                 count.append(1)
@@ -127,6 +138,29 @@ class PrefixCounter:
                 raise ValueError("the vocabulary lacks a byte")
         return last, count
 
+    def _long_piece(self, data: bytes) -> tuple[list[int], list[int]]:
+        if self._automaton is None:
+            import ahocorasick
+
+            self._automaton = ahocorasick.Automaton()
+            for token, i in self.ids.items():
+                self._automaton.add_word(token.decode("latin-1"), (i, len(token)))
+            self._automaton.make_automaton()
+        last, count, fits = [-1], [0], self.fits
+        for end, (t, size) in self._automaton.iter(data.decode("latin-1")):
+            if len(last) == end + 2:
+                continue  # the token that ends here is found
+            j = end + 1 - size
+            ok = j == 0 or fits.get(last[j] << 20 | t)
+            if ok is None:
+                ok = self._fit(last[j], t)
+            if ok:
+                last.append(t)
+                count.append(count[j] + 1)
+        if len(last) != len(data) + 1:
+            raise ValueError("the vocabulary lacks a byte")
+        return last, count
+
     def counts_of(self, data: bytes) -> list[int]:
         return self.piece(data)[1][1:]
 
@@ -137,7 +171,7 @@ class PrefixCounter:
         before, known = b"", None
         for p in pieces:
             data = p.encode()
-            shared = len(commonprefix((before, data)))
+            shared = len(commonprefix((before, data))) if len(data) <= LONG else 0
             known, before = self.piece(data, known, shared), data
             if p in CONTRACTIONS:
                 inner = self.counts_of(b"'")[0]
@@ -164,7 +198,7 @@ class PrefixCounter:
 
     def tables(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(counts, offsets): counts[offsets[i] + k] is the number of tokens of the first k + 1 bytes of text i; without added tokens."""
-        if len(self.index) > PIECES:
+        if len(self.index) > PIECES or self.used > ENTRIES:
             self._forget()
         split = [self._cut(t) for t in texts]
         n = np.fromiter(map(len, split), np.int64, len(split))
@@ -190,8 +224,12 @@ class PrefixCounter:
 
     def _white_space(self, text: str, counts: np.ndarray) -> None:
         """A prefix that ends with a run of white space has it as one piece."""
+        at = a = 0
         for m in RUN.finditer(text):
-            a, b = len(text[: m.start()].encode()), len(m[0].encode())
+            if m.end() == len(text):
+                break  # it is one piece already
+            a, at = a + len(text[at : m.start()].encode()), m.start()
+            b = len(m[0].encode())
             base = int(counts[a - 1]) if a else 0
             last = len(m[0][-1].encode())
             counts[a + b - last : a + b] = base + np.array(self.counts_of(m[0].encode())[-last:])
@@ -250,8 +288,9 @@ def prefix_counts(docs: DataFrame, vocabulary: str, budget: int, store: bool = T
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = counter(vocabulary)
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                texts = [t or "" for t in b.column(1).slice(at, 256).to_pylist()]
+            for at, part, _ in W.blocks(b.column(1), TEXT_BYTES, TEXTS):
+                rows = len(part) - 1
+                texts = [t or "" for t in b.column(1).slice(at, rows).to_pylist()]
                 table, offsets = use.all_tables(texts)
                 size, total, fitting, kept = np.diff(offsets), [], [], []
                 for i in range(len(texts)):
@@ -261,7 +300,7 @@ def prefix_counts(docs: DataFrame, vocabulary: str, budget: int, store: bool = T
                     fitting.append(len(own) if n <= budget else longest_within(own, budget))
                     if store:
                         kept.append(own.astype("<u4").tobytes())
-                out = [b.column(0).slice(at, 256), pa.array(size), pa.array(total, pa.int64()), pa.array(fitting, pa.int64())]
+                out = [b.column(0).slice(at, rows), pa.array(size), pa.array(total, pa.int64()), pa.array(fitting, pa.int64())]
                 names = ["doc_id", "n_bytes", "n_tokens", "fitting"]
                 if store:
                     out, names = [*out, pa.array(kept, pa.binary())], [*names, "table"]

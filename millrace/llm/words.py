@@ -2,7 +2,7 @@
 
 A word is a maximal run of bytes of one class (UTF-8 is searched bytewise; all bytes of a character
 beyond ASCII are word bytes). Each gets a 64-bit hash of its bytes: a polynomial over random byte
-values, mixed. Columns are cut into blocks of at most BLOCK bytes (one text at least), so memory
+values, mixed. Columns are cut into blocks of at most BLOCK bytes (one text at least) and ROWS rows, so memory
 follows the longest text and not the batch.
 """
 
@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 1 << 20
+BLOCK, ROWS = 1 << 20, 1 << 16
 U64 = np.uint64
 _SEED = np.random.default_rng(20240131)
 _BYTE = _SEED.integers(1, 2**63, 256, dtype=U64) * U64(2) + U64(1)
@@ -65,7 +65,7 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
-def blocks(column: pa.Array, block: int = BLOCK) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def blocks(column: pa.Array, block: int = BLOCK, rows: int = ROWS) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, offsets from 0, bytes) of each block of rows; null is empty."""
     column = column.cast(pa.large_binary()) if not pa.types.is_large_binary(column.type) else column
     if column.null_count:
@@ -77,7 +77,7 @@ def blocks(column: pa.Array, block: int = BLOCK) -> Iterator[tuple[int, np.ndarr
     at = 0
     while at < len(column):
         to = int(np.searchsorted(offsets, offsets[at] + block, "right")) - 1
-        to = min(max(to, at + 1), len(column))
+        to = min(max(to, at + 1), at + rows, len(column))
         yield at, offsets[at : to + 1] - offsets[at], data[offsets[at] : offsets[to]]
         at = to
 
