@@ -79,27 +79,37 @@ def format_chats(events: DataFrame, trained: str = "assistant") -> DataFrame:
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """(conv_id, turns, trained): messages (role, text), and the texts under the loss mask, from formatted text and mask alone.
+    """(conv_id, turns, trained, formatted, loss): messages (role, text), and the texts under the loss mask, from the
+    formatted text and mask of each conversation alone.
 
-    A span covers the end of its block exactly, so the mask is laid over the blocks by the blocks'
-    own lengths: linear in the text, whatever the number of turns.
+    Blocks become rows, a running sum says where each ends, and sorted among them by their ends the mask's spans each
+    stand before the block whose body they cover: linear in the text but for the sort, whatever the number of turns.
     """
-    blocks = F.filter(F.split("formatted", r"<\|im_end\|>\n"), lambda b: b != "")
-    ends = F.transform("loss", lambda s: s["start"] + s["length"])
-    cut = formatted.select("conv_id", "formatted", "loss", blocks.alias("blocks"), ends.alias("ends"))
-    lengths = F.transform("blocks", lambda b: F.length(b).cast("long") + len(END))
-    cut = cut.withColumn("stops", F.aggregate(lengths, F.array().cast("array<bigint>"), lambda acc, n: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + n))))
-    masked = F.map_from_arrays(F.transform("ends", lambda e: e + len(END)), F.transform("loss", lambda s: s["length"]))
-    cut = cut.withColumn("under", masked)
-    parts = F.transform(
-        "blocks",
-        lambda b, i: F.struct(
-            unescape(F.replace(F.substring_index(F.substr(b, F.lit(len(START) + 1)), "\n", 1), F.lit("&#10;"), F.lit("\n"))).alias("role"),
-            F.substr(b, F.locate("\n", b) + F.lit(1)).alias("body"),
-            F.try_element_at("under", F.try_element_at("stops", i + 1)).cast("int").alias("loss"),
-        ),
-    )
-    return cut.select(
-        "conv_id", F.transform(parts, lambda p: F.struct(p["role"].alias("role"), unescape(p["body"]).alias("text"))).alias("turns"),
-        F.transform(F.filter(parts, lambda p: p["loss"].isNotNull()), lambda p: unescape(F.right(p["body"], p["loss"]))).alias("trained"), "formatted", "loss",
+    empty = F.lit(None).cast("string")
+    no_loss = F.lit(None).cast(formatted.schema["loss"].dataType)
+
+    def row(kind: int, text: Column, size: Column, end: Column, loss: Column = no_loss) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), text.alias("text"), size.cast("long").alias("size"), end.cast("long").alias("end"), loss.alias("loss"))
+
+    none = F.lit(None).cast("long")
+    blocks = F.transform(F.filter(F.split("formatted", r"<\|im_end\|>\n"), lambda b: b != ""), lambda b: row(2, b, F.length(b) + len(END), none))
+    spans = F.transform("loss", lambda s: row(1, empty, s["length"], s["start"] + s["length"] + len(END)))
+    whole = F.array(row(0, F.col("formatted"), none, none, F.col("loss")))
+    rows = formatted.select("conv_id", F.posexplode(F.concat(whole, spans, blocks)).alias("pos", "r")).select("conv_id", "pos", "r.*")
+    of = Window.partitionBy("conv_id")
+    rows = rows.withColumn("end", F.coalesce("end", F.sum(F.when(F.col("kind") == 2, F.col("size"))).over(of.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))))
+    before = of.orderBy("end", "kind", "pos")
+    covered = (F.lag("kind").over(before) == 1) & (F.lag("end").over(before) == F.col("end"))
+    rows = rows.withColumn("under", F.when(covered, F.lag("size").over(before)))
+    block = F.col("kind") == 2
+    body = F.substr("text", F.locate("\n", "text") + F.lit(1))
+    role = unescape(F.replace(F.substring_index(F.substr("text", F.lit(len(START) + 1)), "\n", 1), F.lit("&#10;"), F.lit("\n")))
+    rows = rows.select(
+        "conv_id", F.when(~block, F.struct("text", "loss")).alias("whole"), F.col("kind") == 0,
+        F.when(block, F.struct("pos", role.alias("role"), unescape(body).alias("text"), F.when(F.col("under").isNotNull(), unescape(F.right(body, F.col("under").cast("int")))).alias("trained"))).alias("turn"),
+    ).withColumnRenamed("(kind = 0)", "head")
+    got = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("turn")).alias("t"), F.max_by("whole", "head").alias("whole"))
+    return got.select(
+        "conv_id", F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("turns"),
+        F.transform(F.filter("t", lambda x: x["trained"].isNotNull()), lambda x: x["trained"]).alias("trained"), F.col("whole.text").alias("formatted"), F.col("whole.loss").alias("loss"),
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.llm import chat_format, decontaminate, jaccard_join, lang_id, packing, quality_knn, quality_rules, token_counts, token_store, url_filter
@@ -24,8 +24,8 @@ def literal_rows(spark: SparkSession, rows: list[tuple], *names: str) -> DataFra
 
 def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch(spark, "tokens")
-    manifest = token_store.write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), folder, end=2)
-    back = token_store.read_documents(spark, folder, manifest)
+    token_store.write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), folder, end=2)
+    back = token_store.read_documents(spark, folder)
     return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
@@ -138,11 +138,23 @@ FROM d LEFT JOIN c USING (id) LEFT JOIN i USING (id)
 """
 
 
+def event_log(rows: DataFrame) -> DataFrame:
+    """A log as a chat service would write it, with each row's text as what is left in the end: the message is opened,
+    a draft is streamed, it is generated again, half is streamed and edited, and the rest is streamed."""
+    text = F.coalesce("text", F.lit(""))
+    half = F.floor(F.length(text) / 2).cast("int")
+    left, right = F.substr(text, F.lit(1), half), F.substr(text, half + 1)
+    steps = [("message", F.lit("")), ("delta", F.concat(right, F.lit(" draft"))), ("regenerate", F.lit("")), ("delta", F.concat(left, F.lit("..."))), ("edit", left), ("delta", right)]
+    events = F.array(*(F.struct(F.lit(k).alias("kind"), t.alias("text")) for k, t in steps))
+    nth = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text"))
+    made = rows.select("conv_id", "turn", "role", nth.alias("nth"), F.posexplode(events).alias("at", "e"))
+    return made.select("conv_id", "turn", (F.col("nth") * len(steps) + F.col("at")).alias("seq"), "e.kind", "role", "e.text")
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = literal_rows(spark, [(-1, 0, "user", HOSTILE), (-1, 1, "assistant", HOSTILE)], "conv_id", "turn", "role", "text")
-    events = rows.unionByName(extra).select("*", F.col("turn").alias("seq"), F.lit("message").alias("kind"))
-    back = chat_format.read_back(chat_format.format_chats(events))
+    back = chat_format.read_back(chat_format.format_chats(event_log(rows.unionByName(extra))))
     trained = F.concat_ws("", "trained")
     return back.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"),

@@ -6,14 +6,17 @@ the set bits before every block of 512. Token i is read level by level: its chun
 is set the rank of its place, which is its place one level up. So any token is found in as many steps
 as its id has chunks, without decoding a block, and small ids take one byte and one bit.
 
-A file (little-endian, .dac) has a 40-byte head (magic, levels, documents, tokens, shard), the doc_ids
-(int64; null is the least int64), the documents' offsets (int64, one more than documents), then for each
-level its length (int64), chunks (bytes), bitmap (bytes) and directory (int64), and last a crc32 of all
-before it.
+A part (little-endian) has a 40-byte head (magic, levels, documents, tokens, shard), the doc_ids (int64), a
+bitmap of null doc_ids, the documents' offsets (int64, one more than documents), then for each level its
+length (int64), chunks (bytes), bitmap (bytes) and directory (int64), and last a crc32 of all before it. A
+file (.dac) is a run of parts of about PART_TOKENS tokens (one document at least) and a trailer that says
+where each begins, what documents and tokens it has, and how many parts there are. So writer and reader
+hold a part, never a file, and a token is still found by reading its own few bytes of one part.
 
 Null text is empty and has the end id alone; repeated rows are written each, in the order of their texts.
-Extra columns are ignored; without documents there is no file. Documents are dealt over files by ranges of (doc_id, text hash), in ascending order, and a file is
-written whole under another name before it gets its own, so a repeated task leaves the same file.
+Null doc_ids come first. Extra columns are ignored; without documents there is no file. Documents are dealt
+over files by ranges of (doc_id, text hash), in ascending order. A file is written whole under another name
+before it gets its own, and one that has its name already stays, so a repeated task leaves the same file.
 """
 
 from __future__ import annotations
@@ -22,20 +25,25 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.tokens import encoder
+from millrace.llm import words as W
+from millrace.llm.tokens import Encoder, encoder
 from millrace.session import input_bytes, written
 
-MAGIC = b"DACTOK01"
+MAGIC = b"DACTOK02"
 BLOCK = 512
 #: Bytes of input that go to one file, about.
-FILE_BYTES = 32 << 20
-NULL_ID = -(2**63)
+FILE_BYTES = 128 << 20
+#: Tokens of a part, about.
+PART_TOKENS = 1 << 20
+#: Bytes of ids, and documents, of a batch that is read, about.
+BATCH_BYTES, BATCH_DOCS = 1 << 20, 4096
 _ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
@@ -103,22 +111,27 @@ class Codes:
         return out
 
 
-def pack(shard: int, doc_ids: np.ndarray, offsets: np.ndarray, ids: np.ndarray) -> bytes:
+def pack(shard: int, doc_ids: np.ndarray, offsets: np.ndarray, ids: np.ndarray, nulls: np.ndarray | None = None) -> bytes:
+    """A part."""
     codes = Codes.of(ids)
-    parts = [struct.pack("<8sQQQq", MAGIC, len(codes.levels), len(doc_ids), len(ids), shard), doc_ids.astype("<i8").tobytes(), offsets.astype("<i8").tobytes()]
+    nulls = np.zeros(len(doc_ids), bool) if nulls is None else nulls
+    parts = [
+        struct.pack("<8sQQQq", MAGIC, len(codes.levels), len(doc_ids), len(ids), shard),
+        doc_ids.astype("<i8").tobytes(), np.packbits(nulls, bitorder="little").tobytes(), offsets.astype("<i8").tobytes(),
+    ]
     for level in codes.levels:
         parts += [struct.pack("<q", len(level.chunks)), level.chunks.tobytes(), level.bitmap.tobytes(), level.ranks.astype("<i8").tobytes()]
     body = b"".join(parts)
     return body + struct.pack("<I", zlib.crc32(body))
 
 
-class TokenFile:
-    """A file's content; reading a token or a document touches only its own bytes."""
+class Part:
+    """A part's content; reading a token or a document touches only its own bytes."""
 
     def __init__(self, content: bytes) -> None:
         magic, levels, self.n_docs, self.n_tokens, self.shard = struct.unpack_from("<8sQQQq", content)
         if magic != MAGIC or zlib.crc32(memoryview(content)[:-4]) != struct.unpack_from("<I", content, len(content) - 4)[0]:
-            raise ValueError("not a whole token file")
+            raise ValueError("not a whole part of a token file")
         at = 40
 
         def take(kind: str, n: int) -> np.ndarray:
@@ -127,7 +140,9 @@ class TokenFile:
             at += out.nbytes
             return out
 
-        self.doc_ids, self.offsets = take("<i8", self.n_docs), take("<i8", self.n_docs + 1)
+        self.doc_ids = take("<i8", self.n_docs)
+        self.nulls = np.unpackbits(take("u1", -(-self.n_docs // 8)), count=self.n_docs, bitorder="little").astype(bool)
+        self.offsets = take("<i8", self.n_docs + 1)
         made = []
         for _ in range(levels):
             n = int(take("<q", 1)[0])
@@ -142,15 +157,94 @@ class TokenFile:
         return self.codes.range(int(self.offsets[k]), int(self.offsets[k + 1]))
 
 
-def _save(folder: str, name: str, content: bytes) -> None:
+class TokenFile:
+    """A file of parts, read through a handle that seeks: the trailer first, then the parts that are asked for."""
+
+    def __init__(self, folder: str, name: str) -> None:
+        from pyarrow import fs
+
+        system, path = fs.FileSystem.from_uri(folder)
+        self.source = system.open_input_file(f"{path}/{name}")
+        size = self.source.size()
+        n, magic = struct.unpack("<Q8s", self._bytes(size - 16, 16))
+        if magic != MAGIC:
+            raise ValueError(f"{name} is not a whole token file")
+        own = np.frombuffer(self._bytes(size - 16 - 24 * n, 24 * n), "<i8").reshape(-1, 3)
+        self.begin = np.append(own[:, 0], size - 16 - 24 * n)
+        self.first_doc = np.concatenate([[0], np.cumsum(own[:, 1])])
+        self.first_token = np.concatenate([[0], np.cumsum(own[:, 2])])
+        self.shard = struct.unpack("<8sQQQq", self._bytes(0, 40))[4]
+        self._held: tuple[int, Part] | None = None
+
+    def _bytes(self, at: int, n: int) -> bytes:
+        self.source.seek(int(at))
+        return self.source.read(int(n))
+
+    @property
+    def n_docs(self) -> int:
+        return int(self.first_doc[-1])
+
+    @property
+    def n_tokens(self) -> int:
+        return int(self.first_token[-1])
+
+    def part(self, k: int) -> Part:
+        if self._held is None or self._held[0] != k:
+            self._held = k, Part(self._bytes(self.begin[k], self.begin[k + 1] - self.begin[k]))
+        return self._held[1]
+
+    def token(self, i: int) -> int:
+        k = int(np.searchsorted(self.first_token, i, "right")) - 1
+        return self.part(k).token(i - int(self.first_token[k]))
+
+    def document(self, i: int) -> np.ndarray:
+        k = int(np.searchsorted(self.first_doc, i, "right")) - 1
+        return self.part(k).document(i - int(self.first_doc[k]))
+
+    def close(self) -> None:
+        self.source.close()
+
+
+def save(folder: str, name: str, parts: Iterator[tuple[bytes, int, int]]) -> tuple[int, int]:
+    """Writes (part, its documents, its tokens) to a file; (documents, tokens) of them all."""
     from pyarrow import fs
 
     system, path = fs.FileSystem.from_uri(folder)
     system.create_dir(path, recursive=True)
-    draft = f"{path}/_{name}.{uuid.uuid4().hex}"
+    draft, at, own = f"{path}/_{name}.{uuid.uuid4().hex}", 0, []
     with system.open_output_stream(draft) as out:
-        out.write(content)
-    system.move(draft, f"{path}/{name}")
+        for content, docs, tokens in parts:
+            out.write(content)
+            own.append((at, docs, tokens))
+            at += len(content)
+        out.write(np.array(own, "<i8").tobytes() + struct.pack("<Q8s", len(own), MAGIC))
+    if system.get_file_info(f"{path}/{name}").type == fs.FileType.NotFound:
+        system.move(draft, f"{path}/{name}")
+    else:
+        system.delete_file(draft)
+    return sum(x[1] for x in own), sum(x[2] for x in own)
+
+
+def _parts(shard: int, batches: Iterator[pa.RecordBatch], use: Encoder) -> Iterator[tuple[bytes, int, int]]:
+    held: list[tuple[np.ndarray, ...]] = []
+    tokens = 0
+
+    def made() -> tuple[bytes, int, int]:
+        doc, nulls, size, flat = (np.concatenate(x) for x in zip(*held, strict=True))
+        return pack(shard, doc, np.concatenate([[0], np.cumsum(size)]), flat, nulls), len(doc), len(flat)
+
+    for b in batches:
+        for at, offsets, data in W.blocks(b.column(1)):
+            own = b.column(0).slice(at, len(offsets) - 1)
+            flat, ends = use.block(data, offsets)
+            held.append((own.fill_null(0).to_numpy(zero_copy_only=False), own.is_null().to_numpy(zero_copy_only=False), np.diff(ends), flat))
+            tokens += len(flat)
+            if tokens >= PART_TOKENS:
+                yield made()
+                held.clear()
+                tokens = 0
+    if held:
+        yield made()
 
 
 def write_tokens(docs: DataFrame, vocabulary: str, folder: str, end: int | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -158,51 +252,62 @@ def write_tokens(docs: DataFrame, vocabulary: str, folder: str, end: int | None,
     spark = docs.sparkSession
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(at)  # without documents it stays empty
-    files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(1 << 20, -(-input_bytes(docs) // FILE_BYTES)))
+    files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes(docs) // FILE_BYTES))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     dealt = rows.repartitionByRange(files, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text").withColumn("shard", F.spark_partition_id())
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        use, ids, sizes, shard = encoder(vocabulary, end), [], [], None
-        tokens = []
-        for b in batches:
-            if not b.num_rows:
-                continue
-            shard = b.column(2)[0].as_py()
-            ids.append(b.column(0).fill_null(NULL_ID).to_numpy(zero_copy_only=False))
-            for at in range(0, b.num_rows, 1024):
-                flat, offsets = use.encode(b.column(1).slice(at, 1024))
-                tokens.append(flat)
-                sizes.append(np.diff(offsets))
-        if shard is not None:
-            n = np.concatenate(sizes)
-            content = pack(shard, np.concatenate(ids), np.concatenate([[0], np.cumsum(n)]), np.concatenate(tokens))
-            _save(folder, f"tokens-{shard:08d}.dac", content)
-            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([len(n)], pa.int64()), pa.array([int(n.sum())], pa.int64())], names=["shard", "docs", "tokens"])
+        full = (b for b in batches if b.num_rows)
+        first = next(full, None)
+        if first is not None:
+            shard = first.column(2)[0].as_py()
+            n = save(folder, f"tokens-{shard:08d}.dac", _parts(shard, chain([first], full), encoder(vocabulary, end)))
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (shard, *n)], names=["shard", "docs", "tokens"])
 
     return written(dealt.mapInArrow(write, "shard long, docs long, tokens long"), "manifest")
 
 
-def read_documents(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids) from the files: ids are the document's, start the ids of all documents before it."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.dac").load(folder).select("content")
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    base = manifest.select("shard", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("base"))  # one row a file
+def read_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids) from the files alone: ids are the document's, start the ids of all documents before it."""
+    names = spark.read.format("binaryFile").option("pathGlobFilter", "*.dac").load(folder).select(F.substring_index("path", "/", -1).alias("name"))
+
+    def head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [TokenFile(folder, name) for name in b.column(0).to_pylist()]
+            for f in found:
+                f.close()
+            yield pa.RecordBatch.from_arrays([pa.array([f.shard for f in found], pa.int64()), pa.array([f.n_tokens for f in found], pa.int64())], names=["shard", "tokens"])
+
+    heads = names.mapInArrow(head, "shard long, tokens long").toArrow()  # 16 bytes a file
+    shard, tokens = (heads.column(k).to_numpy() for k in range(2))
+    order = np.argsort(shard)
+    sent = spark.sparkContext.broadcast((shard[order], np.cumsum(tokens[order]) - tokens[order]))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shards, base = sent.value
         for b in batches:
-            for content in b.column(0):
-                f = TokenFile(content.as_py())
-                every = f.codes.range(0, f.n_tokens)  # all documents are wanted here
-                for at in range(0, f.n_docs, 4096):
-                    k = range(at, min(at + 4096, f.n_docs))
-                    own = f.doc_ids[at : at + 4096]
-                    doc = pa.array(own, pa.int64(), mask=own == NULL_ID)
-                    out = [every[f.offsets[i] : f.offsets[i + 1]] for i in k]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([f.shard] * len(k), pa.int64()), doc, pa.array(f.offsets[at : at + len(k)]), pa.array([len(x) for x in out], pa.int64()), pa.array([x.astype("<u4").tobytes() for x in out], pa.binary())],
-                        names=["shard", "doc_id", "within", "n_tokens", "ids"],
-                    )
-
-    got = files.mapInArrow(read, "shard long, doc_id long, within long, n_tokens long, ids binary")
-    return got.join(base, "shard").select("doc_id", (F.col("base") + F.col("within")).alias("start"), "n_tokens", "ids")
+            for name in b.column(0).to_pylist():
+                f = TokenFile(folder, name)
+                before = int(base[np.searchsorted(shards, f.shard)])
+                for k in range(len(f.begin) - 1):
+                    yield from rows_of(f.part(k), before + int(f.first_token[k]))
+                f.close()
+
+    def rows_of(part: Part, before: int) -> Iterator[pa.RecordBatch]:
+        first, out, size = 0, [], 0
+        for k in range(part.n_docs):
+            own = part.document(k).astype("<u4").tobytes()
+            out.append(own)
+            size += len(own)
+            if size >= BATCH_BYTES or len(out) >= BATCH_DOCS or k + 1 == part.n_docs:
+                span = slice(first, k + 1)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(part.doc_ids[span], pa.int64(), mask=part.nulls[span]), pa.array(before + part.offsets[span]),
+                        pa.array([len(x) // 4 for x in out], pa.int64()), pa.array(out, pa.binary()),
+                    ],
+                    names=["doc_id", "start", "n_tokens", "ids"],
+                )
+                first, out, size = k + 1, [], 0
+
+    return names.mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")

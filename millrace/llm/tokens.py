@@ -219,7 +219,8 @@ class Encoder:
             start[:n] |= cut
         return np.flatnonzero(start[:n]), whole
 
-    def _block(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def block(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the texts between these offsets of data, offsets of each text in them)."""
         if self.n > CACHE:
             self._shrink()
         start, whole = self._cuts(data, offsets)
@@ -251,7 +252,7 @@ class Encoder:
     def encode(self, texts: pa.Array | list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offsets of each text in them); the end id, if any, follows each text."""
         column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
-        parts = [self._block(data, offsets) for _, offsets, data in W.blocks(column)]
+        parts = [self.block(data, offsets) for _, offsets, data in W.blocks(column)]
         if not parts:
             return np.zeros(0, np.uint32), np.zeros(1, np.int64)
         size = np.concatenate([np.diff(o) for _, o in parts])

@@ -62,7 +62,7 @@ def test_directly_addressable_codes(top):
     rng = np.random.default_rng(top)
     for n in (0, 1, 7, 8, 511, 512, 513, 5000):
         ids = rng.integers(0, top, n, dtype=np.uint64).astype(np.uint32)
-        f = token_store.TokenFile(token_store.pack(3, np.array([9], np.int64), np.array([0, n]), ids))
+        f = token_store.Part(token_store.pack(3, np.array([9], np.int64), np.array([0, n]), ids))
         assert (f.document(0) == ids).all()
         for i in rng.integers(0, n, 50) if n else ():
             assert f.token(int(i)) == ids[i]
@@ -73,14 +73,14 @@ def test_directly_addressable_codes(top):
 def test_a_broken_file_is_refused():
     good = token_store.pack(0, np.array([1], np.int64), np.array([0, 3]), np.array([1, 2, 300], np.uint32))
     with pytest.raises(ValueError):
-        token_store.TokenFile(good[:50] + b"\xff" + good[51:])
+        token_store.Part(good[:50] + b"\xff" + good[51:])
 
 
 def test_store_round_trip(spark, docs, odd_texts):
     rows = [(3 * i % 1009, t) for i, t in enumerate(odd_texts[:400])] + [(5, None), (5, None), (None, "null id")]
     folder = scratch(spark, "test")
-    manifest = token_store.write_tokens(docs(rows), public_tokenizers.path(FILES[0]), folder, end=2)
-    got = token_store.read_documents(spark, folder, manifest).orderBy("start").collect()
+    token_store.write_tokens(docs(rows), public_tokenizers.path(FILES[0]), folder, end=2)
+    got = token_store.read_documents(spark, folder).orderBy("start").collect()
     assert [r.doc_id for r in got] == sorted((i for i, _ in rows), key=lambda i: (i is not None, i))
     at = 0
     for r in got:
@@ -93,7 +93,7 @@ def test_store_round_trip(spark, docs, odd_texts):
 def test_store_of_nothing(spark, docs):
     folder = scratch(spark, "test")
     manifest = token_store.write_tokens(docs([(1, "a")]).where("false"), public_tokenizers.path(FILES[0]), folder, end=2)
-    assert manifest.count() == 0 and token_store.read_documents(spark, folder, manifest).count() == 0
+    assert manifest.count() == 0 and token_store.read_documents(spark, folder).count() == 0
     none = docs([(1, "a")]).where("false")
     assert packing.pack(packing.runs(none, public_tokenizers.path(FILES[1]), 2)).count() == 0
     assert token_counts.prefix_counts(none, public_tokenizers.path(FILES[1]), 5).count() == 0
