@@ -143,7 +143,8 @@ def test_every_shared_run_is_found(spark, docs, monkeypatch, block):
     items = [(i, say(rng.choice([0, 1, 3, 9, 10, 11, 30]))) for i in range(1, 25)] + [(90, None), (91, "..."), (92, items_text := say(15)), (93, items_text)]
     rows = [(i, say(rng.randint(0, 60)) + rng.choice(["", ", ", "!"]) + rng.choice(items)[1].__str__()) for i in range(120)] + [(500, None), (501, ""), (501, "")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", block)
+    monkeypatch.setattr(decontaminate, "ITEM_WORDS", block)
+    monkeypatch.setattr(decontaminate, "HOT", 20)
     got = decontaminate.report(decontaminate.shared_spans(docs(rows), bench)).collect()
     assert sorted((r.doc_id, r.n_words, r.n_hit, sorted(r.item_ids)) for r in got) == sorted((i, *hits(t, items)) for i, t in rows)
     clean = decontaminate.without_contaminated(docs(rows), bench)
