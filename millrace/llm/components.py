@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.session import written
+from millrace.session import release, written
 
 #: Edges that one forest takes in.
 EDGES = 1 << 20
@@ -51,15 +51,19 @@ def _forest(edges: np.ndarray) -> pa.RecordBatch:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, label) for each node of the edges (a, b): label is the least node of its component."""
+    """(node, label, was) for each node of the edges (a, b): label is the least node of its component. A written table."""
     tree = written(edges.select("a", "b").mapInArrow(forest, "a long, b long"), "forest")
     both = written(tree.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(tree.select(F.col("b").alias("node"), F.col("a").alias("other"))).distinct(), "edges")
-    labels = written(both.groupBy("node").agg(F.min("other").alias("other")).select("node", F.least("node", "other").alias("label")), "labels")
+    held = written(both.groupBy("node").agg(F.min("other").alias("other")).select("node", F.least("node", "other").alias("label")), "labels")
+    release(tree)
     while True:
+        labels = held.select("node", "label")
         near = both.join(labels.select(F.col("node").alias("other"), "label"), "other").groupBy("node").agg(F.min("label").alias("near"))
         hooked = labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
         up = labels.select(F.col("node").alias("label"), F.col("label").alias("up"))
         new = written(hooked.join(up, "label").select("node", "was", F.least("label", "up").alias("label")), "labels")
-        labels = new.select("node", "label")
+        release(held)
+        held = new
         if new.where("label != was").isEmpty():
-            return labels
+            release(both)
+            return new

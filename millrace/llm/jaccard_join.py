@@ -14,17 +14,18 @@ the whole sequence). Documents of equal sets are one class; the join runs betwee
    all such pairs. Lists over LIST_LIMIT entries give each entry's WINDOW predecessors and the list's
    first HEADS entries, and are kept: once their pairs are verified and joined into components, only
    pairs of different components are left to look at, those of entries outside the list's largest
-   component with all others: some PARTNERS of each first, in the last round all that are still apart. So no link
-   between components is lost, and a group of thousands of copies costs a few comparisons for each
-   copy and not all its pairs.
+   component with all others: first within groups of some PARTNERS entries, in the last round all that are
+   still apart. A long list is dealt over cells of CELL entries a side, so no list is one task's; in a cell
+   the suffix filter is applied before a pair is given out. So no link between components is lost, and a
+   group of thousands of copies costs a few comparisons for each copy and not all its pairs.
 4. Every candidate pair is verified once: a suffix filter bounds the overlap by what both sets hold of
    each of many hash ranges; for the pairs left, the texts are read again and the exact overlap decides.
 5. Components by alternating minimum labels and pointer jumping, after a spanning forest per partition.
 
 Defined results: null text or no word: empty set, linked with nothing, its own component. Equal sets
-link, also below K words. Repeated doc_ids are one document each time they occur (rows are kept; all
-rows of a doc_id share its component). A null doc_id gets the component of its class. Extra columns
-are ignored. Set sizes are exact up to collisions of 64-bit hashes.
+link, also below K words. A row is a document: rows of one doc_id each get a row and, if their texts
+differ, maybe different components, each named by the least doc_id of its rows. A null doc_id gets the
+component of its class. Extra columns are ignored. Texts may have any length. Set sizes are exact up to collisions of 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -33,12 +34,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import words as W
 from millrace.llm.components import components
-from millrace.session import written
+from millrace.operators.dedup import first_of_key
+from millrace.session import release, written
 
 K = 5
 PER_100 = 80
@@ -48,8 +50,12 @@ BLOCK_SHINGLES = 4 << 20
 LIST_LIMIT = 6
 WINDOW = 3
 HEADS = 2
-#: Partners that an entry outside its list's largest component meets in each round across components; None: all.
+#: Entries of the groups in which entries of a long list meet in each round across components; None: all entries.
 PARTNERS = (32, 256, None)
+#: Entries on each side of a cell of a long list, about, and pairs that are looked at together.
+CELL, PAIRS = 2048, 1 << 20
+#: Hash ranges of a sketch, for the suffix filter within cells.
+SKETCH = 256
 #: Entries of one shingle that go to one bucket, about; lists that are longer by the counts are dealt over several.
 HOT = 500_000
 _DEALT = 1 << 31
@@ -91,13 +97,13 @@ def _frequent_of(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return u, np.searchsorted(s, u, "right") - start
 
 
-_FIRST = pa.schema([("doc_id", pa.int64()), ("class", pa.int64()), ("n", pa.int64()), ("ranges", pa.binary()), ("shingle", pa.int64()), ("seen", pa.int64())])
+_FIRST = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("class", pa.int64()), ("n", pa.int64()), ("ranges", pa.binary()), ("shingle", pa.int64()), ("seen", pa.int64())])
 
 
 def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held, size = [], 0
     for b in batches:
-        ids, cls, ns, ranges = b.column(0).to_pylist(), [0] * b.num_rows, [0] * b.num_rows, [b""] * b.num_rows
+        cls, ns, ranges = [0] * b.num_rows, [0] * b.num_rows, [b""] * b.num_rows
         for i, s in shingle_sets(b.column(1)):
             cls[i], ns[i], ranges[i] = class_of(s), len(s), signature(s)
             held.append(s)
@@ -105,15 +111,15 @@ def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if size >= BLOCK_SHINGLES:
                 yield _seen(*_frequent_of(held))
                 held, size = [], 0
-        none = pa.nulls(len(ids), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(cls, pa.int64()), pa.array(ns, pa.int64()), pa.array(ranges, pa.binary()), none, none], schema=_FIRST)
+        none = pa.nulls(b.num_rows, pa.int64())
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(cls, pa.int64()), pa.array(ns, pa.int64()), pa.array(ranges, pa.binary()), none, none], schema=_FIRST)
     if size:
         yield _seen(*_frequent_of(held))
 
 
 def _seen(u: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
     none = pa.nulls(len(u), pa.int64())
-    return pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(u), pa.binary()), pa.array(u.view(np.int64)), pa.array(n.astype(np.int64))], schema=_FIRST)
+    return pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(len(u), pa.binary()), pa.array(u.view(np.int64)), pa.array(n.astype(np.int64))], schema=_FIRST)
 
 
 def rare_first(s: np.ndarray, frequent: np.ndarray, count: np.ndarray, filt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -276,7 +282,7 @@ def linked(a: np.ndarray, b: np.ndarray, per_100: int) -> bool:
 
 
 def verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, per_100: int) -> DataFrame:
-    """Those pairs (a, b) of classes that link. reps: (class, doc_id, n, ranges); docs: (doc_id, text)."""
+    """A written table of those pairs (a, b) of classes that link. reps: (class, doc_id, n, ranges); docs: (doc_id, text)."""
 
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -297,8 +303,8 @@ def verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, per_100: int) ->
             yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.binary())], names=["class", "data"])
 
     need = written(need, "needed")
-    need = F.broadcast(need) if need.count() <= BROADCAST_IDS else need
-    text = docs.join(need, docs["doc_id"].eqNullSafe(need["doc_id"])).select("class", "text")
+    few = F.broadcast(need) if need.count() <= BROADCAST_IDS else need
+    text = docs.join(few, docs["doc_id"].eqNullSafe(need["doc_id"])).select("class", "text")
     held = written(text.mapInArrow(sets, "class long, data binary"), "sets")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,40 +314,51 @@ def verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, per_100: int) ->
             yield b.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
     both = pairs.join(held.select(F.col("class").alias("a"), F.col("data").alias("x")), "a").join(held.select(F.col("class").alias("b"), F.col("data").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+    out = written(both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), "links")
+    release(pairs, need, held)
+    return out
 
 
 def _candidates_of(docs: DataFrame, id_col: str, text_col: str, per_100: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(docs as doc_id and text, their classes, a representative of each class, candidates)."""
+    """(docs as doc_id and text, their classes, a representative of each class, candidates); all but docs are written."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    first = written(docs.mapInArrow(_first_pass, "doc_id long, class long, n long, ranges binary, shingle long, seen long"), "shingles")
-    members = first.where("n is not null").select("doc_id", "class", "n", "ranges")
+    first = docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_first_pass, "doc_id long, text_hash long, class long, n long, ranges binary, shingle long, seen long")
+    first = written(first, "shingles")
+    members = first.where("n is not null").select("doc_id", "text_hash", "class", "n", "ranges")
     total = members.agg(F.sum("n")).first()[0] or 0
-    hot = first.where("shingle is not null").groupBy("shingle").agg(F.sum("seen").alias("seen")).where(F.col("seen") >= max(LOCAL, SHARE * total)).toPandas()  # 1 / SHARE rows at most
-    hot = hot.assign(shingle=hot["shingle"].to_numpy(np.int64).view(U64)).sort_values("shingle")
-    frequent = (hot["shingle"].to_numpy(U64), hot["seen"].to_numpy(np.int64)) if len(hot) else (np.array([2**64 - 1], U64), np.array([0]))
+    seen = first.where("shingle is not null").groupBy("shingle").agg(F.sum("seen").alias("seen")).where(F.col("seen") >= max(LOCAL, SHARE * total))
+    hot = seen.orderBy(F.expr("shingle ^ -9223372036854775808")).toArrow()  # 1 / SHARE rows at most, as flat arrays; unsigned order
+    frequent = (hot.column(0).to_numpy().view(U64), hot.column(1).to_numpy()) if len(hot) else (np.array([2**64 - 1], U64), np.array([0]))
     buckets = int(max(docs.sparkSession.sparkContext.defaultParallelism, total * (100 - per_100 + 1) // 100 * ENTRY.itemsize // BUCKET_BYTES, 1))
     found = written(candidates(prefixes(docs, frequent, buckets, per_100), buckets, per_100), "candidates")
     reps = members.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("ranges").alias("ranges"))
     return docs, members, written(reps, "classes"), found
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_100: int = PER_100) -> DataFrame:
-    """(id_col, n_shingles, component_id): one row for each row of docs."""
+def _grouped(docs: DataFrame, id_col: str, text_col: str, per_100: int) -> DataFrame:
+    """(doc_id, text_hash, n, part): part names the component of each row, null for rows without a word."""
     docs, members, reps, found = _candidates_of(docs, id_col, text_col, per_100)
-    pairs = found.where("a is not null").select("a", "b").distinct()
-    links = written(verify(pairs, reps, docs, per_100), "links")
+    links = verify(found.where("a is not null").select("a", "b").distinct(), reps, docs, per_100)
     labels = components(links)
     lists = found.where("shingle is not null").select("shingle", "class", "n", "pos", "before")
     for turn in range(len(PARTNERS)):
-        more = written(across(lists, labels, per_100, turn), "across")
-        if more.isEmpty():
-            continue
-        links = links.unionByName(written(verify(more, reps, docs, per_100), "links"))
-        labels = components(links)
-    named = members.select("doc_id", "class", "n").join(labels.withColumnRenamed("node", "class"), "class", "left")
-    least = named.where("n > 0").select(F.coalesce("label", "class").alias("part"), "doc_id").groupBy("part").agg(F.min("doc_id").alias("least"))
-    out = named.withColumn("part", F.when(F.col("n") > 0, F.coalesce("label", "class"))).join(least, "part", "left")
+        more = written(across(lists, labels, reps, per_100, turn), "across")
+        if not more.isEmpty():
+            new, old, was = verify(more, reps, docs, per_100), links, labels
+            links = written(old.unionByName(new), "links")
+            labels = components(links)
+            release(new, old, was)
+        release(more)
+    release(found, reps, links)
+    named = members.select("doc_id", "text_hash", "class", "n").join(labels.select(F.col("node").alias("class"), "label"), "class", "left")
+    return named.select("doc_id", "text_hash", "n", F.when(F.col("n") > 0, F.coalesce("label", "class")).alias("part"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_100: int = PER_100) -> DataFrame:
+    """(id_col, n_shingles, component_id): one row for each row of docs."""
+    named = _grouped(docs, id_col, text_col, per_100)
+    least = named.where("n > 0").groupBy("part").agg(F.min("doc_id").alias("least"))
+    out = named.join(least, "part", "left")
     return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
@@ -349,42 +366,162 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_1
     """((a, b) of every two classes that link, a < b; (id_col, class) of every row with a word). Rows of one class link
     too. No link is left out, so a long list costs all its pairs that pass the filters."""
     docs, members, reps, found = _candidates_of(docs, id_col, text_col, per_100)
-    at = found.where("shingle is not null").select("shingle", "class", "n", "pos", "before")
-    x, y = at.alias("x"), at.alias("y")
-    both = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.class") < F.col("y.class")) & (F.col("x.before") != F.col("y.before")) & _near(per_100))
-    pairs = found.where("a is not null").select("a", "b").unionByName(both.select(F.col("x.class").alias("a"), F.col("y.class").alias("b")))
+    at = found.where("shingle is not null").select("shingle", "class", "n", "pos", "before", F.col("class").alias("part"), F.lit(True).alias("away"))
+    sizes = at.groupBy("shingle").agg(F.count("*").alias("size"), F.count("*").alias("n_away"))
+    pairs = found.where("a is not null").select("a", "b").unionByName(_met(at, sizes, reps, per_100, None))
     return verify(pairs.distinct(), reps, docs, per_100), members.where("n > 0").select(F.col("doc_id").alias(id_col), "class")
 
 
-def without_copies(docs: DataFrame, per_100: int = PER_100) -> DataFrame:
-    """One row of docs for each component: that of its least doc_id; equal rows of one doc_id are one."""
-    found = near_duplicates(docs, per_100=per_100)
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(stay, docs["doc_id"].eqNullSafe(stay["doc_id"]), "left_semi")
-    first = Window.partitionBy("doc_id", "text").orderBy(*(c for c in docs.columns if c not in ("doc_id", "text")), "doc_id")
-    return kept.withColumn("copy of a row", F.row_number().over(first)).where("`copy of a row` = 1").drop("copy of a row")
+def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_100: int = PER_100) -> DataFrame:
+    """docs with one row of each component: that of its least doc_id (then of the least text hash, and then the least in
+    all columns). Rows without a word all stay. Only rows that go are looked up, so texts are moved only if they are many."""
+    named = _grouped(docs, id_col, text_col, per_100).where("n > 0")
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    named = written(named.select("part", key.alias("key")), "grouped")
+    kept = named.groupBy("part").agg(F.min("key").alias("least"), F.count("*").alias("rows")).where("rows > 1")
+    placed = named.join(kept, "part")
+    go = written(placed.where("key != least").select("key.doc_id", "key.text_hash").distinct(), "copies")
+    again = written(placed.where("key = least").groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key.doc_id", "key.text_hash"), "repeated")
+    release(named)
+    one = docs.join(_few(go), _is(docs, go, id_col, text_col), "left_anti")
+    if again.isEmpty():
+        return one
+    rest = one.join(_few(again), _is(docs, again, id_col, text_col), "left_anti")
+    return rest.unionByName(first_of_key(one.join(_few(again), _is(docs, again, id_col, text_col), "left_semi"), [id_col, text_col], []))
+
+
+def _few(ids: DataFrame) -> DataFrame:
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
-def _near(per_100: int) -> Column:
-    """Whether entries x and y of a list pass the length and positional filters."""
-    na, nb = F.col("x.n"), F.col("y.n")
-    return (100 * F.least(na, nb) >= per_100 * F.greatest(na, nb)) & ((100 + per_100) * (1 + F.least(na - F.col("x.pos") - 1, nb - F.col("y.pos") - 1)) >= per_100 * (na + nb))
+def _is(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str):
+    return docs[id_col].cast("long").eqNullSafe(ids["doc_id"]) & (F.xxhash64(docs[text_col].cast("string")) == ids["text_hash"])
 
 
-def across(lists: DataFrame, labels: DataFrame, per_100: int, turn: int) -> DataFrame:
-    """Pairs of entries of a long list whose components differ: about PARTNERS[turn] for each entry, or all; without those of earlier turns."""
-    at = lists.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("part", F.coalesce("label", "class")).drop("label")
+def across(lists: DataFrame, labels: DataFrame, reps: DataFrame, per_100: int, turn: int) -> DataFrame:
+    """Candidate pairs of entries of a long list whose components differ: within groups of about PARTNERS[turn] entries,
+    or all; without those that met in earlier turns."""
+    at = lists.join(labels.select(F.col("node").alias("class"), "label"), "class", "left").withColumn("part", F.coalesce("label", "class")).drop("label")
     parts = at.groupBy("shingle", "part").agg(F.count("*").alias("size"))
-    mixed = parts.groupBy("shingle").agg(F.max(F.struct("size", "part"))["part"].alias("largest"), F.sum("size").alias("size"), F.count("*").alias("parts")).where("parts > 1")
-    if turn:  # every pair of a list of no more entries has been met
+    mixed = parts.groupBy("shingle").agg(F.max(F.struct("size", "part")).alias("largest"), F.sum("size").alias("size"), F.count("*").alias("parts")).where("parts > 1")
+    if turn:  # every pair of a list of no more entries has met
         mixed = mixed.where(F.col("size") > PARTNERS[turn - 1])
-    at = at.join(mixed.drop("parts"), "shingle")
-    x, y = at.where("part != largest").alias("x"), at.alias("y")
-    apart = (F.col("x.part") != F.col("y.part")) & (F.col("x.before") != F.col("y.before"))
-    a, b = F.least("x.class", "y.class"), F.greatest("x.class", "y.class")
-    for k, partners in enumerate(PARTNERS[: turn + 1]):
-        if partners:
-            mine = F.pmod(F.xxhash64(a, b), F.ceil(F.col("x.size") / partners)) == 0
-            apart &= mine if k == turn else ~mine
-    both = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & apart & _near(per_100))
-    return both.select(a.alias("a"), b.alias("b")).distinct()
+    mixed = written(mixed.select("shingle", "size", (F.col("size") - F.col("largest.size")).alias("n_away"), F.col("largest.part").alias("largest")), "lists")
+    at = at.join(_few(mixed.select("shingle", "largest")), "shingle").withColumn("away", F.col("part") != F.col("largest")).drop("largest")
+    return _met(at, mixed.select("shingle", "size", "n_away"), reps, per_100, turn)
+
+
+def _met(at: DataFrame, sizes: DataFrame, reps: DataFrame, per_100: int, turn: int | None) -> DataFrame:
+    """Distinct candidate pairs (a, b) of entries (shingle, class, n, pos, before, part, away) of the lists in sizes
+    (shingle, size, n_away): those of different parts, one of them away, that pass all filters."""
+    need = at.select("class").distinct()
+    at = at.join(_few(sizes), "shingle").join(reps.join(need, "class").select("class", "ranges").mapInArrow(_sketches, "class long, sketch binary"), "class")
+    earlier = [k for k, p in enumerate(PARTNERS) if turn is not None and k < turn]
+    group = lambda k: F.pmod(F.xxhash64("class", F.lit(k)), F.ceil(F.col("size") / PARTNERS[k]))
+    at = at.withColumn("before_met", F.array(*(group(k) for k in earlier)).cast("array<long>"))
+    no, yes = F.lit(False), F.lit(True)
+    if turn is not None and PARTNERS[turn]:
+        at = at.withColumn("cell", F.array(F.struct(group(turn).alias("i"), F.lit(0).cast("long").alias("j"), F.col("away").alias("x"), yes.alias("y"))))
+    else:
+        rows, columns = F.ceil(F.col("n_away") / CELL), F.ceil(F.col("size") / CELL)
+        zero = F.lit(0).cast("long")
+        mine, theirs = F.pmod(F.xxhash64("class", F.lit(-1)), rows), F.pmod(F.xxhash64("class", F.lit(-2)), columns)
+        x = F.transform(F.sequence(zero, columns - 1), lambda j: F.struct(mine.alias("i"), j.alias("j"), yes.alias("x"), no.alias("y")))
+        y = F.transform(F.sequence(zero, rows - 1), lambda i: F.struct(i.alias("i"), theirs.alias("j"), no.alias("x"), yes.alias("y")))
+        at = at.withColumn("cell", F.when(F.col("away"), F.concat(x, y)).otherwise(y))
+    dealt = at.select("shingle", F.explode("cell").alias("c"), "class", "n", "pos", "before", "part", "away", "sketch", "before_met").select("shingle", "c.*", "class", "n", "pos", "before", "part", "away", "sketch", "before_met")
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cells in _whole_cells(batches):
+            yield from _cell_pairs(cells, per_100, len(earlier))
+
+    return dealt.repartition("shingle", "i", "j").sortWithinPartitions("shingle", "i", "j").mapInArrow(pairs, "a long, b long").distinct()
+
+
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Signatures folded to SKETCH ranges at most."""
+    for b in batches:
+        out = []
+        for r in b.column(1):
+            s = np.frombuffer(r.as_buffer(), np.uint8)
+            wide = len(s) // SKETCH
+            whole = s.max(initial=0) == 255
+            out.append((np.full(SKETCH, 255, np.uint8) if whole else np.minimum(s.reshape(SKETCH, -1).sum(1, dtype=np.int64), 255).astype(np.uint8)).tobytes() if wide > 1 else s.tobytes())
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["class", "sketch"])
+
+
+def _whole_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches, sorted by their first three columns, as tables that no group of these is cut by."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        keys = np.stack([b.column(k).to_numpy() for k in range(3)], 1)
+        change = np.flatnonzero((keys[1:] != keys[:-1]).any(1))
+        same = held and all(held[-1].column(k)[-1] == b.column(k)[0] for k in range(3))
+        cut = int(change[-1]) + 1 if len(change) else 0 if same else None
+        if held and not same:
+            yield pa.Table.from_batches(held)
+            held = []
+        if cut:
+            yield pa.Table.from_batches([*held, b.slice(0, cut)])
+            held = [b.slice(cut)]
+        else:
+            held.append(b)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _cell_pairs(cells: pa.Table, per_100: int, earlier: int) -> Iterator[pa.RecordBatch]:
+    keys = np.stack([cells.column(k).to_numpy() for k in range(3)], 1)
+    group = np.concatenate([[0], np.cumsum((keys[1:] != keys[:-1]).any(1))])
+    x, y, away = (cells.column(k).to_numpy() for k in ("x", "y", "away"))
+    cls, n, pos, before, part = (cells.column(k).to_numpy() for k in ("class", "n", "pos", "before", "part"))
+    met = np.array(cells.column("before_met").combine_chunks().flatten()).reshape(len(cls), earlier) if earlier else None
+    sketch = _Sketches(cells.column("sketch").to_pylist())
+    xs, ys = np.flatnonzero(x), np.flatnonzero(y)
+    lo = np.searchsorted(group[ys], group[xs])
+    many = np.searchsorted(group[ys], group[xs], "right") - lo
+    cuts = np.flatnonzero(np.diff((np.cumsum(many) - many) // PAIRS, prepend=-1)) if len(xs) else np.zeros(0, np.int64)
+    for a, b in zip(cuts, np.append(cuts[1:], len(xs)), strict=True):
+        k = many[a:b]
+        i = np.repeat(xs[a:b], k)
+        j = ys[np.repeat(lo[a:b] - (np.cumsum(k) - k), k) + np.arange(int(k.sum()))]
+        ok = (part[i] != part[j]) & (before[i] != before[j]) & (~away[j] | (cls[i] < cls[j]))
+        for e in range(earlier):
+            ok &= met[i, e] != met[j, e]
+        i, j = i[ok], j[ok]
+        need = -(-per_100 * (n[i] + n[j]) // (100 + per_100))
+        ok = (100 * np.minimum(n[i], n[j]) >= per_100 * np.maximum(n[i], n[j])) & (1 + np.minimum(n[i] - pos[i], n[j] - pos[j]) - 1 >= need)
+        i, j, need = i[ok], j[ok], need[ok]
+        ok = sketch.bound(i, j) >= need
+        got = np.unique(np.stack([np.minimum(cls[i[ok]], cls[j[ok]]), np.maximum(cls[i[ok]], cls[j[ok]])], 1), axis=0)
+        if len(got):
+            yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], names=["a", "b"])
+
+
+class _Sketches:
+    def __init__(self, raw: list[bytes]) -> None:
+        self.raw, self.size = raw, np.fromiter(map(len, raw), np.int64, len(raw))
+        self.folded: dict[int, np.ndarray] = {}
+
+    def _of(self, m: int) -> np.ndarray:
+        """All sketches of m ranges or more folded to m; a range that is full may hold anything."""
+        if m not in self.folded:
+            out = np.zeros((len(self.raw), m), np.uint16)
+            for size in np.unique(self.size[self.size >= m]).tolist():
+                at = np.flatnonzero(self.size == size)
+                s = np.frombuffer(b"".join(self.raw[k] for k in at), np.uint8).reshape(len(at), m, -1)
+                out[at] = np.where((s == 255).any(2), 65535, s.sum(2, dtype=np.int64))
+            self.folded[m] = out
+        return self.folded[m]
+
+    def bound(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """An upper bound of the overlap of each pair."""
+        out, least = np.zeros(len(i), np.int64), np.minimum(self.size[i], self.size[j])
+        for m in np.unique(least).tolist():
+            of, at = self._of(m), np.flatnonzero(least == m)
+            for k in range(0, len(at), 1 << 13):
+                own = at[k : k + (1 << 13)]
+                out[own] = np.minimum(of[i[own]], of[j[own]]).sum(1, dtype=np.int64)
+        return out
