@@ -7,14 +7,16 @@ the greatest length at which some n-gram is known. A language without the word o
 A text's language has the highest mean over its words.
 
 Learning: labelled rows are sampled by a hash of their id so that about SAMPLE are used whatever their
-number (all, if there are fewer). Words and n-grams below the relative frequency CUTOFF of their
-language are left out; at most 1 / CUTOFF can reach it, which bounds the broadcast model.
+number (all, if there are fewer); nothing else bounds the model. It holds each word and n-gram of the sample
+once, with a number for each language that has it, so many languages cost no more than their own words. A
+cutoff (a relative frequency in the language below which words and n-grams are not known) makes it smaller;
+it is 0 unless the caller sets it.
 
 Defined results: `und` with score 0 for null texts and texts without a letter, and for every text if
 nothing was learnt. The score is the language's share among the learnt ones (a softmax of the means,
 sharpened with the number of words up to SHARP). Equal means go to the first language in order. Labels
 that are null, and null texts, are not learnt from. Repeated rows each get a row; extra columns are
-ignored.
+ignored; texts may have any length.
 """
 
 from __future__ import annotations
@@ -25,18 +27,23 @@ from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm import words as W
+from millrace.session import release, written
+
 SAMPLE = 20_000
-CUTOFF = 2e-6
 PENALTY = -7.0
 LONGEST = 5
 SHARP = 10
-#: Words whose scores a worker keeps.
-CACHE = 600_000
+#: Numbers (one a word and language) that a worker keeps for words that it has met.
+CACHE = 4_000_000
+#: Texts, and their bytes (one text at least), that are worked on together.
+TEXTS, TEXT_BYTES = 256, 1 << 20
 _WORD = regex.compile(r"\p{L}+")
 
 
@@ -48,64 +55,94 @@ def sampled(labelled: DataFrame, key: Column, bound: int) -> DataFrame:
     return labelled.where(F.pmod(F.xxhash64(key), F.lit(1 << 40)) < int(bound / n * (1 << 40)))
 
 
+class Table:
+    """Scores of items in the languages that have them: those of item i are at starts[i] to starts[i + 1]."""
+
+    def __init__(self, found: pa.Table, languages: list[str]) -> None:
+        """found: (item, lang, score), sorted by item."""
+        found = found.combine_chunks()
+        items, lang = found.column(0).combine_chunks() if found.num_rows else pa.array([], pa.string()), found.column(1)
+        runs = pc.run_end_encode(items)
+        self.items = runs.values
+        self.starts = np.concatenate([[0], runs.run_ends.to_numpy()]).astype(np.int64)
+        self.lang = pc.index_in(lang, pa.array(languages, pa.string())).to_numpy().astype(np.int32)
+        self.scores = found.column(2).to_numpy().astype(np.float32)
+
+    def rows(self, at: np.ndarray, n: int) -> np.ndarray:
+        """at x n scores, PENALTY for languages without the item."""
+        size = self.starts[at + 1] - self.starts[at]
+        places = np.repeat(self.starts[at] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        out = np.full((len(at), n), PENALTY, np.float32)
+        out[np.repeat(np.arange(len(at)), size), self.lang[places]] = self.scores[places]
+        return out
+
+    def index(self) -> dict[str, int]:
+        names = self.items.to_pylist()
+        return dict(zip(names, range(len(names)), strict=True))
+
+
 class Model:
-    def __init__(self, languages: list[str], words: dict[str, int], grams: dict[str, int], word_scores: np.ndarray, gram_scores: np.ndarray) -> None:
-        self.languages, self.words, self.grams, self.word_scores, self.gram_scores = languages, words, grams, word_scores, gram_scores
+    def __init__(self, languages: list[str], words: Table, grams: Table) -> None:
+        self.languages, self.words, self.grams = languages, words, grams
 
 
-def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, cutoff: float = CUTOFF) -> Model:
+def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, cutoff: float = 0.0) -> Model:
     rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).dropna(subset=["text", "lang"])
     words = sampled(rows, F.col("id"), sample).select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("item"))
-    counts = words.groupBy("lang", "item").agg(F.count("*").alias("n"))
+    counts = written(words.groupBy("lang", "item").agg(F.count("*").alias("n")), "words")
     padded = F.concat(F.lit(" "), F.col("item"), F.lit(" "))
     sizes = F.sequence(F.lit(1), F.least(F.lit(LONGEST), F.length(padded)))
     grams = F.flatten(F.transform(sizes, lambda k: F.transform(F.sequence(F.lit(1), F.length(padded) - k + 1), lambda i: F.substring(padded, i, k))))
     of = counts.select("lang", "n", F.explode(grams).alias("item")).where("item != ' '")
-    gram_counts = of.groupBy("lang", "item").agg(F.sum("n").alias("n"))
+    gram_counts = written(of.groupBy("lang", "item").agg(F.sum("n").alias("n")), "grams")
 
-    def table(found: DataFrame, kind: Column) -> tuple[dict[str, dict[str, float]], list[str]]:
-        totals = found.groupBy("lang", kind.alias("kind")).agg(F.sum("n").alias("total"))
+    def table(found: DataFrame, kind: Column) -> tuple[pa.Table, list[str]]:
+        totals = found.groupBy("lang", kind.alias("kind")).agg(F.sum("n").alias("total"))  # a row a language and length
         kept = found.withColumn("kind", kind).join(F.broadcast(totals), ["lang", "kind"]).where(F.col("n") >= cutoff * F.col("total"))
-        out: dict[str, dict[str, float]] = {}
-        for lang, item, score in kept.select("lang", "item", F.log10(F.col("n") / F.col("total"))).toLocalIterator():
-            out.setdefault(item, {})[lang] = score
-        return out, [r[0] for r in totals.select("lang").distinct().collect()]
-
-    word_table, languages = table(counts, F.lit(0))
-    gram_table, _ = table(gram_counts, F.length("item"))
-    languages = sorted(languages)
-
-    def packed(found: dict[str, dict[str, float]]) -> tuple[dict[str, int], np.ndarray]:
-        scores = np.array([[row.get(x, PENALTY) for x in languages] for row in found.values()], np.float32).reshape(len(found), len(languages))
-        return {item: i for i, item in enumerate(found)}, scores
+        return kept.select("item", "lang", F.log10(F.col("n") / F.col("total")).cast("float").alias("score")).orderBy("item", "lang").toArrow(), sorted(r[0] for r in totals.select("lang").distinct().collect())
 
-    (words_at, word_scores), (grams_at, gram_scores) = packed(word_table), packed(gram_table)
-    return Model(languages, words_at, grams_at, word_scores, gram_scores)
+    word_rows, languages = table(counts, F.lit(0))
+    gram_rows, _ = table(gram_counts, F.length("item"))
+    release(counts, gram_counts)
+    return Model(languages, Table(word_rows, languages), Table(gram_rows, languages))
 
 
 class Scorer:
-    """Scores words with a model; what it has worked out for unknown words it keeps, up to CACHE."""
+    """Scores words with a model; what it has worked out it keeps, up to CACHE numbers."""
 
     def __init__(self, model: Model) -> None:
-        self.model = model
+        self.model, self.n = model, len(model.languages)
+        self.words, self.grams = model.words.index(), model.grams.index()
         self._forget()
 
     def _forget(self) -> None:
-        self.index = dict(self.model.words)
-        self.scores = np.concatenate([self.model.word_scores, np.zeros((1 << 12, len(self.model.languages)), np.float32)])
+        self.index: dict[str, int] = {}
+        self.scores = np.zeros((1 << 12, self.n), np.float32)
 
     def unknown(self, word: str) -> np.ndarray:
         padded = f" {word} "
-        grams, at = self.model.grams, []
+        grams, at = self.grams, []
         for k in range(min(LONGEST, len(padded)), 0, -1):
             at = [i for j in range(len(padded) - k + 1) if (i := grams.get(padded[j : j + k])) is not None]
             if at:
-                return self.model.gram_scores[at].mean(0)
-        return np.full(len(self.model.languages), PENALTY, np.float32)
+                return self.model.grams.rows(np.array(at), self.n).mean(0)
+        return np.full(self.n, PENALTY, np.float32)
+
+    def learn(self, fresh: list[str]) -> None:
+        first = len(self.index)
+        self.index.update(zip(fresh, range(first, first + len(fresh)), strict=True))
+        if first + len(fresh) > len(self.scores):
+            self.scores = np.concatenate([self.scores, np.zeros((max(len(fresh), len(self.scores)), self.n), np.float32)])
+        out = self.scores[first : first + len(fresh)]
+        at = np.fromiter((self.words.get(w, -1) for w in fresh), np.int64, len(fresh))
+        known = np.flatnonzero(at >= 0)
+        out[known] = self.model.words.rows(at[known], self.n)
+        for i in np.flatnonzero(at < 0).tolist():
+            out[i] = self.unknown(fresh[i])
 
     def means(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(mean score of each text and language, number of words of each text)."""
-        if len(self.index) > CACHE + len(self.model.words):
+        if len(self.index) * max(1, self.n) > CACHE:
             self._forget()
         split = [_WORD.findall(t.lower()) if t else [] for t in texts]
         n = np.fromiter(map(len, split), np.int64, len(split))
@@ -113,12 +150,7 @@ class Scorer:
         at = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
         new = np.flatnonzero(at < 0)
         if len(new):
-            fresh = list(dict.fromkeys(words[i] for i in new))
-            first = len(self.index)
-            self.index.update(zip(fresh, range(first, first + len(fresh)), strict=True))
-            if first + len(fresh) > len(self.scores):
-                self.scores = np.concatenate([self.scores, np.zeros((max(len(fresh), len(self.scores)), self.scores.shape[1]), np.float32)])
-            self.scores[first : first + len(fresh)] = [self.unknown(w) for w in fresh]
+            self.learn(list(dict.fromkeys(words[i] for i in new)))
             at[new] = [self.index[words[i]] for i in new]
         out = np.zeros((len(texts), len(self.model.languages)))
         full = np.flatnonzero(n)
@@ -148,8 +180,8 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
         use = _scorer(key, sent)
         names = np.array([*use.model.languages, "und"], object)
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
+            for at, offsets, _ in W.blocks(b.column(1), TEXT_BYTES, TEXTS):
+                part = b.slice(at, len(offsets) - 1)
                 mean, n = use.means(part.column(1).to_pylist())
                 known = (n > 0) & bool(use.model.languages)
                 if mean.shape[1]:
