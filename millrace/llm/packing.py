@@ -1,8 +1,9 @@
 """Packing of token runs into sequences: bounded-space online best fit.
 
 A document's ids are cut into runs of CAPACITY from its end, so that only its first run may be shorter.
-Runs arrive in a hashed order, TURN at a time and the longest of these first. A fixed number of sequences is open; a bitset has a bit for every free
-space that some open sequence has. A run goes where it leaves least free (the lowest set bit from its
+Runs arrive in a hashed order. `turn` of them arrive together, the longest first: 1 is plain online packing,
+TURN looks that far ahead, which needs fewer sequences in the same space. A fixed number of sequences is
+open; a bitset has a bit for every free space that some open sequence has. A run goes where it leaves least free (the lowest set bit from its
 length up). If none fits, a sequence is opened, and when BINS are open already the fullest is closed
 first. Each partition packs by itself, with PER_TASK runs, so what stays open at the end is a small
 share; runs are dealt evenly whatever their ids or texts. A run of CAPACITY is a sequence of its own: it
@@ -23,12 +24,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm import words as W
 from millrace.llm.tokens import encoder
 from millrace.session import written
 
 CAPACITY = 1024
 BINS = 1024
-#: Runs that arrive together, the longest first.
+#: Runs that arrive together, the longest first; 1: each by itself.
 TURN = 1024
 #: Runs of less than CAPACITY that one task packs, about.
 PER_TASK = 200_000
@@ -74,8 +76,9 @@ def runs(docs: DataFrame, vocabulary: str, end: int | None, capacity: int = CAPA
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = encoder(vocabulary, end)
         for b in batches:
-            for at in range(0, b.num_rows, 1024):
-                flat, offsets = use.encode(b.column(1).slice(at, 1024))
+            for at, ends, raw in W.blocks(b.column(1)):
+                rows = len(ends) - 1
+                flat, offsets = use.block(raw, ends)
                 data = memoryview(flat.astype("<u4")).cast("B")
                 size = np.diff(offsets)
                 pieces = -(-size // capacity)
@@ -87,7 +90,7 @@ def runs(docs: DataFrame, vocabulary: str, end: int | None, capacity: int = CAPA
                 a = offsets[:-1][doc] + start
                 spans = list(zip((4 * a).tolist(), (4 * (a + length)).tolist(), strict=True))
                 out = [
-                    b.column(0).slice(at, 1024).take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length),
+                    b.column(0).slice(at, rows).take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length),
                     pa.array([zlib.crc32(data[x:y]) for x, y in spans], pa.int64()),
                 ]
                 names = ["doc_id", "piece", "start", "length", "ids_crc32"]
@@ -99,7 +102,7 @@ def runs(docs: DataFrame, vocabulary: str, end: int | None, capacity: int = CAPA
     return rows.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
-def pack(made: DataFrame, capacity: int = CAPACITY, bins: int = BINS) -> DataFrame:
+def pack(made: DataFrame, capacity: int = CAPACITY, bins: int = BINS, turn: int = TURN) -> DataFrame:
     """made (of runs(), or any table with a length) with sequence_id and offset. The runs are written once."""
     made = written(made, "runs")
     shorter = made.where(F.col("length") < capacity)
@@ -114,7 +117,7 @@ def pack(made: DataFrame, capacity: int = CAPACITY, bins: int = BINS) -> DataFra
         part = TaskContext.get().partitionId() << 40
         t = pa.Table.from_batches(held)
         length = t.column("length").to_numpy()
-        order = np.lexsort((-length, np.arange(len(length)) // TURN))
+        order = np.lexsort((-length, np.arange(len(length)) // turn))
         at = np.empty((len(length), 2), np.int64)
         at[order] = list(best_fit(length[order].tolist(), capacity, bins))
         t = t.append_column("sequence_id", pa.array(part + at[:, 0])).append_column("offset", pa.array(at[:, 1]))
