@@ -7,9 +7,10 @@ key. Every rule start carries the stack of rules that are open there; the sweep
 hands each URL the stack of the last start before it, and rules whose interval has ended by then
 are popped. The rules that remain are those of the URL's host; the path decides among them.
 
-URLs are dealt over `group * SALTS + salt`: the group hashes the last two labels, the salt only the
-position of the row, so one host (or one row, repeated) with any share of the URLs is spread evenly.
-Rules with two labels or more are copied SALTS times, those of one label to every group.
+URLs are dealt over all partitions by the position of the row alone, so one host (or one row, repeated) with
+any share of the URLs is spread evenly, and the rules are copied to every partition. Of more than COPIES
+copies in all, URLs are dealt over groups of partitions by their last two labels, and within the group by
+position; rules of two labels or more are then copied to their group only (of MIN_SALTS partitions at least).
 
 Defined results: a null URL, or one without "://", has empty host and path, no rule and the default
 verdict. Rules with a null host, path or action are ignored; of two that fit, the longer one
@@ -24,7 +25,8 @@ import string
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SALTS = 32
+#: Copies of rules that are made at most, but for groups of MIN_SALTS partitions.
+COPIES, MIN_SALTS = 10_000_000, 32
 
 
 def ascii_lower(c: Column) -> Column:
@@ -64,15 +66,18 @@ def rule_stacks(rules: DataFrame) -> DataFrame:
 
 def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
     """(id_col, host, path, rule, verdict): one row for each row of pages. rules: (host, path, action)."""
-    groups = max(1, int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")) // SALTS)
+    parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    stacks = rule_stacks(rules)
+    salts = parts if parts <= MIN_SALTS else min(parts, max(MIN_SALTS, COPIES // max(1, stacks.count())))
+    groups = -(-parts // salts)
     urls = pages.select(F.col(id_col).alias("id"), url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path"))
-    group = F.pmod(F.xxhash64(_domain(F.col("key"))), F.lit(groups)) * SALTS
+    group = F.pmod(F.xxhash64(_domain(F.col("key"))), F.lit(groups)) * salts
     points = urls.withColumn("key", host_key("host")).select(
-        (group + F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))).alias("part"), "key", F.lit(1).alias("kind"), "id", "host", "path",
+        (group + F.pmod(F.monotonically_increasing_id(), F.lit(salts))).alias("part"), "key", F.lit(1).alias("kind"), "id", "host", "path",
     )
-    salts = F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))
-    places = F.when(F.col("labels") == 1, F.sequence(F.lit(0).cast("long"), F.lit(groups * SALTS - 1).cast("long"))).otherwise(F.transform(salts, lambda s: group + s))
-    starts = rule_stacks(rules).select(F.explode(places).alias("part"), "key", F.lit(0).alias("kind"), "stack")
+    every = F.sequence(F.lit(0).cast("long"), F.lit(groups * salts - 1).cast("long"))
+    places = F.when(F.col("labels") == 1, every).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")), lambda s: group + s))
+    starts = stacks.select(F.explode(places).alias("part"), "key", F.lit(0).alias("kind"), "stack")
     sweep = Window.partitionBy("part").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, 0)
     swept = points.unionByName(starts, allowMissingColumns=True).withColumn("open", F.last("stack", ignorenulls=True).over(sweep)).where("kind = 1")
     fits = F.filter("open", lambda r: F.startswith("key", r["node"]) & F.startswith("path", r["path"]))
