@@ -24,15 +24,18 @@ def union_distinct(*runs: DataFrame) -> DataFrame:
 
 
 def once_per_content(rows: DataFrame, content: str, order: list[str]) -> DataFrame:
-    """Rows with distinct content only, each with its digest and how many rows had it: what an expensive step has to see."""
+    """(digest, order, n_rows): the first row of each distinct content, by its columns in `order`, and how many rows have
+    it: what an expensive step has to see. Contents are not moved, only their digests."""
     digest = F.sha2(content, 256)
-    least = rows.groupBy(digest.alias("digest")).agg(F.min(F.struct(*order)).alias("first"), F.min(content).alias(content), F.count("*").alias("n_rows"))
-    return least.select("digest", *(F.col(f"first.{c}").alias(c) for c in order), content, "n_rows")
+    least = rows.select(digest.alias("digest"), *order).groupBy("digest").agg(F.min(F.struct(*order)).alias("first"), F.count("*").alias("n_rows"))
+    return least.select("digest", *(F.col(f"first.{c}").alias(c) for c in order), "n_rows")
 
 
 def numbered(rows: DataFrame, order: list[str], name: str = "number") -> DataFrame:
-    """rows with their place in `order`, from 1. Ranges are sorted apart; only their sizes are summed in one task."""
-    part = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    """rows with their place in `order`, from 1. Ranges are sorted apart; only their sizes are summed in one task. Rows
+    that are equal in `order` may be dealt over several ranges."""
+    tied = rows.withColumn("_tie", F.monotonically_increasing_id())
+    part = tied.repartitionByRange(*order, "_tie").sortWithinPartitions(*order, "_tie").drop("_tie")
     part = written(part.withColumn("_at", F.monotonically_increasing_id()), "numbered")
     at = F.shiftright("_at", 33)
     sizes = part.groupBy(at.alias("_part")).agg(F.count("*").alias("_n"))

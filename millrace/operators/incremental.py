@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators.dedup import first_of_key
+from millrace.session import written
 
 
 def other_runs(library: DataFrame, run_id: str, run_col: str = "run_id") -> DataFrame:
@@ -14,13 +15,15 @@ def other_runs(library: DataFrame, run_id: str, run_col: str = "run_id") -> Data
 
 
 def unseen(batch: DataFrame, library: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The first row of each key that the library lacks. What the library has is dropped before rows are
-    reduced to one a key, on the same partitioning of the keys."""
-    return first_of_key(batch.join(library.select(*keys).distinct(), keys, "left_anti"), keys, order)
+    """The first row of each key that the library lacks. Rows are reduced to one a key before they move, so a key with
+    any share of the batch is one row of the join, which has the same partitioning."""
+    return first_of_key(batch, keys, order).join(library.select(*keys).distinct(), keys, "left_anti")
 
 
 def seen(batch: DataFrame, library: DataFrame, keys: list[str]) -> DataFrame:
-    return batch.join(library.select(*keys).distinct(), keys, "left_semi")
+    """Every row of batch whose key the library has. The library's distinct keys are written, so that both sides of the
+    join are plain shuffles and one with a frequent key can be split while it runs."""
+    return batch.join(written(library.select(*keys).distinct(), "known"), keys, "left_semi")
 
 
 def run_stats(batch: DataFrame, library: DataFrame, keys: list[str]) -> DataFrame:

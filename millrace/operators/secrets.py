@@ -60,15 +60,29 @@ def preview(value: Column) -> Column:
     return F.concat(F.substr(value, F.lit(1), F.least(F.lit(4), F.floor(F.length(value) / 4).cast("int"))), F.lit("****"))
 
 
+def _any(rules: list[Rule]) -> str:
+    """One pattern that holds wherever some rule's does: most texts are looked at once and no more."""
+    return "|".join(f"(?:{r.pattern})" for r in rules)
+
+
 def scan(docs: DataFrame, rules: list[Rule], salt: str, id_col: str = "doc_id", text_col: str = "text", source: str = "source") -> DataFrame:
-    """(id_col, source, rule_id, rule_name, severity, fingerprint, preview): a row for each match. Equal texts are scanned once."""
-    once = once_per_content(docs, text_col, [id_col])
+    """(id_col, source, rule_id, rule_name, severity, fingerprint, preview): a row for each match. Texts are scanned
+    where they are read: moving them to spare equal ones a cheap pattern would cost more than it saves."""
     per_rule = F.array(*(F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.name).alias("rule_name"), F.lit(r.severity).cast("string").alias("severity"), F.regexp_extract_all(text_col, F.lit(r.pattern), F.lit(1)).alias("values")) for r in rules))
-    found = once.select("digest", F.inline(F.filter(per_rule, lambda r: F.size(r["values"]) > 0))).select("digest", "rule_id", "rule_name", "severity", F.explode("values").alias("value"))
+    some = docs.where(F.rlike(text_col, F.lit(_any(rules))))
+    found = some.select(id_col, source, F.inline(F.filter(per_rule, lambda r: F.size(r["values"]) > 0))).select(id_col, source, "rule_id", "rule_name", "severity", F.explode("values").alias("value"))
     found = found.withColumn("value", normalised(F.col("value"))).where("value != ''")
-    found = found.select("digest", "rule_id", "rule_name", "severity", fingerprint(F.col("value"), salt).alias("fingerprint"), preview(F.col("value")).alias("preview"))
-    where = docs.select(F.sha2(text_col, 256).alias("digest"), id_col, source)
-    return where.join(found, "digest").select(id_col, source, "rule_id", "rule_name", "severity", "fingerprint", "preview")
+    return found.select(id_col, source, "rule_id", "rule_name", "severity", fingerprint(F.col("value"), salt).alias("fingerprint"), preview(F.col("value")).alias("preview"))
+
+
+def scan_once(docs: DataFrame, rules: list[Rule], salt: str, id_col: str = "doc_id", text_col: str = "text", source: str = "source") -> DataFrame:
+    """As scan(), but equal texts are scanned once, by their digests, and the matches given to every document that has
+    the text: for rules that cost more than moving a digest and an id. scan_stats() counts what is spared. Ids are unique."""
+    keyed = docs.select(id_col, source, F.sha2(text_col, 256).alias("digest"))
+    first = once_per_content(docs.where(F.col(text_col).isNotNull()), text_col, [id_col]).select(F.col(id_col).alias("_first"))
+    one = docs.join(first, F.col(id_col) == F.col("_first"), "left_semi").select(F.sha2(text_col, 256).alias("digest"), text_col, source)
+    found = scan(one, rules, salt, "digest", text_col, source).drop(source)
+    return keyed.join(found, "digest").select(id_col, source, "rule_id", "rule_name", "severity", "fingerprint", "preview")
 
 
 def findings(matches: DataFrame, now: Column, id_col: str = "doc_id", source: str = "source") -> DataFrame:
@@ -99,7 +113,7 @@ def merge_stats(old: DataFrame, matches: DataFrame) -> DataFrame:
 
 
 def scan_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """One row: texts that scan() scans, and scans it skips because an equal text is scanned already."""
+    """One row: texts that scan_once() scans, and scans it skips because an equal text is scanned already."""
     n = F.countDistinct(F.sha2(text_col, 256))
     return docs.agg(n.alias("n_scanned"), (F.count(text_col) - n).alias("n_skipped_scans"))
 
@@ -115,4 +129,5 @@ def query(found: DataFrame, kind: str | None = None, since: Column | None = None
 
 def redacted(text: Column, rules: list[Rule]) -> Column:
     """text with each match of a rule replaced by [REDACTED:rule id]."""
-    return reduce(lambda c, r: F.regexp_replace(c, r.pattern, f"[REDACTED:{r.rule_id}]"), rules, text)
+    replaced = reduce(lambda c, r: F.regexp_replace(c, r.pattern, f"[REDACTED:{r.rule_id}]"), rules, text)
+    return F.when(F.rlike(text, F.lit(_any(rules))), replaced).otherwise(text)
