@@ -3,19 +3,22 @@
     folder/data/run_id=R/part-*.parquet   rows
     folder/keys/run_id=R/part-*.parquet   key_hash, the key columns, key_version; sorted by key_hash
 
-Keys are written after the data, so a run without keys is one that was cut off and is made good by
-rebuild(). Matching compares the key columns, never the hash alone.
+Keys are written after the data, and under another name before they get their own, so a run without keys is
+one that was cut off and is made good by rebuild(). Matching compares the key columns, never the hash alone;
+the hash serves to read a range of the keys without the rest.
 """
 
 from __future__ import annotations
 
 import re
 import secrets
+import uuid
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.functions.strings import row_key
 from millrace.operators import incremental
 from millrace.sources.sinks import _path, exists
 
@@ -88,8 +91,19 @@ class Library:
 
     def _write_keys(self, run_id: str, parts: list[str] | None = None) -> None:
         rows = self.spark.read.parquet(*(parts or [f"{self.folder}/data/run_id={run_id}"]))
-        keyed = rows.select(F.xxhash64(*self.keys).alias("key_hash"), *self.keys, F.lit(self.version).alias("key_version"))
-        keyed.repartitionByRange("key_hash").sortWithinPartitions("key_hash").write.mode("overwrite").option("compression", "zstd").parquet(f"{self.folder}/keys/run_id={run_id}")
+        keyed = rows.select(row_key(*self.keys).alias("key_hash"), *self.keys, F.lit(self.version).alias("key_version"))
+        draft, place = f"{self.folder}/keys/_draft-{run_id}-{uuid.uuid4().hex}", f"{self.folder}/keys/run_id={run_id}"
+        keyed.repartitionByRange("key_hash").sortWithinPartitions("key_hash").write.option("compression", "zstd").parquet(draft)
+        (system, old), (_, new) = _path(self.spark, place), _path(self.spark, draft)
+        if system.exists(old):
+            system.delete(old, True)
+        if not system.rename(new, old):
+            raise OSError(f"the keys of run {run_id} could not get their name")
+
+    def key_range(self, low: int, high: int, exclude: str | None = None) -> DataFrame | None:
+        """Keys whose hash is low or more and less than high; keys are sorted by it, so other row groups are not read."""
+        found = self.key_table(exclude)
+        return found if found is None else found.where((F.col("key_hash") >= low) & (F.col("key_hash") < high))
 
     def rebuild(self) -> list[str]:
         """Makes the keys of runs that lack them or have stale ones; returns those runs. Parts that can't be read

@@ -2,7 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable, Iterator
+from itertools import chain
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from millrace.session import workers_import
 
 PER_PART = 100_000_000
 
@@ -48,3 +57,31 @@ def write(rows: DataFrame, path: str, kind: str = "parquet", per_part: int = PER
     else:
         raise ValueError(f"unknown kind of output: {kind}")
     return True
+
+
+def write_encoded(rows: DataFrame, folder: str, suffix: str, encode: Callable[[Iterator[str], int], Iterator[bytes]], line: str = "line") -> int:
+    """Writes a file part-NNNNN + suffix for each partition that has rows, in a form that Spark has no writer for: encode
+    turns a partition's lines, and its number, into bytes. A file gets its name when it is whole; how many there are."""
+    workers_import(rows.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        system, at = fs.FileSystem.from_uri(folder)
+        full = (b for b in batches if b.num_rows)
+        if (head := next(full, None)) is None:
+            return
+        part = TaskContext.get().partitionId()
+        system.create_dir(at, recursive=True)
+        draft = f"{at}/_{part}-{uuid.uuid4().hex}"
+        with system.open_output_stream(draft) as out:
+            for data in encode((x for b in chain([head], full) for x in b.column(0).to_pylist()), part):
+                out.write(data)
+        name = f"{at}/part-{part:05d}{suffix}"
+        if system.get_file_info(name).type == fs.FileType.NotFound:
+            system.move(draft, name)
+        else:  # of a task that was run twice
+            system.delete_file(draft)
+        yield pa.RecordBatch.from_arrays([pa.array([1], pa.int64())], names=["n"])
+
+    return rows.select(line).mapInArrow(run, "n long").agg(F.count("n")).first()[0]

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.strings import MAX_LINE_BYTES, trim_line
-from millrace.session import workers_import
+from millrace.session import workers_import, written
 
 TXT = "*.[tT][xX][tT]"
 ZST = "*.[zZ][sS][tT]"
@@ -54,12 +54,58 @@ def read_lines(spark: SparkSession, paths: list[str], glob: str = TXT) -> DataFr
     return rows.where("line != ''")
 
 
+def _listed(spark: SparkSession, paths: list[str], glob: str) -> DataFrame:
+    """(path, length) without any content."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(paths).select("path", "length")
+
+
+def _uri(path: str) -> str:
+    return "file://" + path[5:] if path.startswith("file:/") and not path.startswith("file://") else path
+
+
+def _opened(path: str):
+    """A handle that seeks, so that a part of a file is read without the rest."""
+    from pyarrow import fs
+
+    system, at = fs.FileSystem.from_uri(_uri(path))
+    return system.open_input_file(at)
+
+
+def seekable(spark: SparkSession, paths: list[str]) -> bool:
+    """Whether workers can open these stores by themselves; others are only read whole, by Spark."""
+    from pyarrow import fs
+
+    try:
+        for p in paths:
+            system, at = _hadoop(spark, p)
+            fs.FileSystem.from_uri(_uri(system.makeQualified(at).toString()))
+    except (OSError, ValueError, pa.ArrowInvalid, pa.ArrowNotImplementedError):
+        return False
+    return True
+
+
+def _hadoop(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
 def sniffed(spark: SparkSession, paths: list[str], glob: str = TXT) -> DataFrame:
-    """(path, encoding) by byte order mark; UTF-8 without one."""
-    raw = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(paths)
-    head = F.hex(F.substring("content", 1, 3))
-    kind = F.when(head.startswith("FFFE"), "UTF-16LE").when(head.startswith("FEFF"), "UTF-16BE").otherwise("UTF-8")
-    return raw.select("path", kind.alias("encoding"))
+    """(path, encoding) by byte order mark; UTF-8 without one. Two bytes of each file are read, where the store allows it."""
+    kind = lambda head: F.when(head.startswith("FFFE"), "UTF-16LE").when(head.startswith("FEFF"), "UTF-16BE").otherwise("UTF-8")
+    if not seekable(spark, paths):
+        raw = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(paths)
+        return raw.select("path", kind(F.hex(F.substring("content", 1, 2))).alias("encoding"))
+    workers_import(spark)
+
+    def head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for path in b.column(0).to_pylist():
+                with _opened(path) as f:
+                    out.append(f.read(2))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["path", "head"])
+
+    return _listed(spark, paths, glob).select("path").mapInArrow(head, "path string, head binary").select("path", kind(F.hex("head")).alias("encoding"))
 
 
 def read_sniffed(spark: SparkSession, paths: list[str], glob: str = TXT) -> DataFrame:
@@ -86,52 +132,92 @@ def bounded(lines: DataFrame, limit: int = MAX_LINE_BYTES, line: str = "line") -
     return lines.where(ok), lines.where(~ok)
 
 
-def frames(data: bytes) -> list[tuple[int, int, int]]:
-    """(offset, length, decoded length) of each zstd frame; skippable frames are passed over, other bytes are an error."""
+#: Bytes that are read, and decoded, at a time; in a walk fewer are read, since little input may decode to much.
+READ_BYTES, WALK_BYTES = 1 << 20, 4096
+
+
+class DamagedFrame(ValueError):
+    """at: where the file stops being readable."""
+
+    def __init__(self, what: str, at: int) -> None:
+        super().__init__(f"{what} at byte {at}")
+        self.at = at
+
+
+def _walk(f, size: int) -> Iterator[tuple[int, int, int]]:
+    """(offset, length, decoded length) of each frame of an open file, which is read once, WALK_BYTES at a time."""
     import zstandard
 
-    out, at = [], 0
-    while at < len(data):
-        magic = int.from_bytes(data[at : at + 4], "little")
-        if magic & 0xFFFFFFF0 == SKIPPABLE:
-            if at + 8 > len(data):
-                raise ValueError("a skippable frame is cut off")
-            at += 8 + int.from_bytes(data[at + 4 : at + 8], "little")
+    at = 0
+    while at < size:
+        f.seek(at)
+        head = f.read(8)
+        if len(head) >= 4 and int.from_bytes(head[:4], "little") & 0xFFFFFFF0 == SKIPPABLE:
+            if len(head) < 8:
+                raise DamagedFrame("a skippable frame is cut off", at)
+            at += 8 + int.from_bytes(head[4:], "little")
             continue
-        if data[at : at + 4] != MAGIC:
-            raise ValueError(f"no zstd frame at byte {at}")
-        decoder = zstandard.ZstdDecompressor(max_window_size=WINDOW_BYTES).decompressobj()
-        size = len(decoder.decompress(data[at:]))
+        if head[:4] != MAGIC:
+            raise DamagedFrame("no zstd frame", at)
+        f.seek(at)
+        decoder, length, decoded = zstandard.ZstdDecompressor(max_window_size=WINDOW_BYTES).decompressobj(), 0, 0
+        try:
+            while not decoder.eof and (data := f.read(WALK_BYTES)):
+                decoded += len(decoder.decompress(data))
+                length += len(data) - len(decoder.unused_data)
+        except zstandard.ZstdError as e:
+            raise DamagedFrame(str(e), at) from e
         if not decoder.eof:
-            raise ValueError("a frame is cut off")
-        length = len(data) - at - len(decoder.unused_data)
-        out.append((at, length, size))
+            raise DamagedFrame("a frame is cut off", at)
+        yield at, length, decoded
         at += length
-    return out
+
+
+def frames(data: bytes) -> list[tuple[int, int, int]]:
+    """(offset, length, decoded length) of each zstd frame; skippable frames are passed over, other bytes are an error."""
+    import io
+
+    return list(_walk(io.BytesIO(data), len(data)))
+
+
+_FRAMES = pa.schema([("path", pa.string()), *((n, pa.int64()) for n in ("frame", "offset", "length", "size")), ("error", pa.string())])
 
 
 def frame_index(spark: SparkSession, paths: list[str], glob: str = ZST) -> DataFrame:
-    """(path, frame, offset, length, size) of every frame of zstd files."""
+    """(path, frame, offset, length, size, error) of every frame of zstd files. Where a file can't be read on, its last row
+    has the error and no size; other files are not touched by it."""
+    import io
+
     workers_import(spark)
+    ranged = seekable(spark, paths)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for path, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                rows = [(path, k, *f) for k, f in enumerate(frames(content.as_py()))]
-                yield pa.RecordBatch.from_pylist([dict(zip(("path", "frame", "offset", "length", "size"), r, strict=True)) for r in rows], schema=_FRAMES)
-
-    raw = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(paths).select("path", "content")
-    return raw.mapInArrow(run, "path string, frame long, offset long, length long, size long")
-
+            for i, path in enumerate(b.column(0).to_pylist()):
+                f = _opened(path) if ranged else io.BytesIO(b.column(1)[i].as_py())
+                size = f.size() if ranged else len(f.getbuffer())
+                held, k = [], 0
+                try:
+                    for k, (at, length, decoded) in enumerate(_walk(f, size), 1):
+                        held.append((path, k - 1, at, length, decoded, None))
+                        if len(held) == 4096:
+                            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*held, strict=True)][:5] + [pa.nulls(len(held), pa.string())], schema=_FRAMES)
+                            held = []
+                except DamagedFrame as e:
+                    held.append((path, k, e.at, size - e.at, None, str(e)))
+                if held:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), _FRAMES.types, strict=True)], schema=_FRAMES)
+                f.close()
 
-_FRAMES = pa.schema([("path", pa.string()), *((n, pa.int64()) for n in ("frame", "offset", "length", "size"))])
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(paths)
+    return raw.select("path", *([] if ranged else ["content"])).mapInArrow(run, "path string, frame long, offset long, length long, size long, error string")
 
 
 def saved_frame_index(spark: SparkSession, paths: list[str], folder: str, glob: str = ZST) -> DataFrame:
     """frame_index() kept as Parquet in folder; files without an entry, or changed since it was made, are looked at again."""
     now = files(spark, paths, glob).select("path", F.col("modificationTime").alias("changed"))
-    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    if not jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jvm_path):
+    system, at = _hadoop(spark, folder)
+    if not system.exists(at):
         frame_index(spark, paths, glob).join(now, "path").write.parquet(folder)
         return spark.read.parquet(folder)
     old = spark.read.parquet(folder)
@@ -142,10 +228,120 @@ def saved_frame_index(spark: SparkSession, paths: list[str], folder: str, glob:
     return spark.read.parquet(folder).join(now, ["path", "changed"], "left_semi")
 
 
-def read_zstd_lines(spark: SparkSession, paths: list[str], glob: str = ZST) -> DataFrame:
-    """(path, line) of zstd text files of any number of frames; lines may cross frames."""
+#: Bytes of decoded lines in a batch, about.
+LINE_BYTES = 1 << 20
+_PIECES = pa.schema([("path", pa.string()), ("frame", pa.int64()), ("seq", pa.int64()), ("line", pa.binary()), ("edge", pa.int32())])
+
+
+def _frame_lines(chunks: Iterator[bytes]) -> Iterator[tuple[bytes, int]]:
+    """(line, edge) of one frame's decoded bytes: whole lines (edge 0), and what stands before its first line feed (1)
+    and after its last (2); a frame without one is all 3."""
+    held: list[bytes] = []
+    first = True
+    for data in chunks:
+        *whole, rest = data.split(b"\n")
+        for line in whole:
+            yield b"".join([*held, line]), 1 if first else 0
+            held, first = [], False
+        held.append(rest)
+    yield b"".join(held), 3 if first else 2
+
+
+class _Slice:
+    """So many bytes of an open file from where it stands."""
+
+    def __init__(self, f, length: int) -> None:
+        self.f, self.left = f, length
+
+    def read(self, n: int) -> bytes:
+        data = self.f.read(min(n, self.left))
+        self.left -= len(data)
+        return data
+
+
+def zstd_lines(spark: SparkSession, index: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((path, frame, seq, line), (path, frame, error)): the lines of the frames of an index (path, frame, offset, length),
+    a task taking some frames and no file being one task's. Pieces of lines that cross frames are put together, file by
+    file, from what stands at the frames' edges alone. A frame that does not decode gives what it holds before the fault
+    and a row among the errors; the others are not touched by it."""
+    workers_import(spark)
+
+    def decoded(path: str, offset: int, length: int) -> Iterator[bytes]:
+        import zstandard
+
+        with _opened(path) as f:
+            f.seek(offset)
+            reader = zstandard.ZstdDecompressor(max_window_size=WINDOW_BYTES).stream_reader(_Slice(f, length), read_size=READ_BYTES)
+            while data := reader.read(READ_BYTES):
+                yield data
+
+    def pieces_of(path: str, offset: int, length: int) -> Iterator[tuple[bytes, int]]:
+        import zstandard
+
+        fault: list[str] = []
+
+        def until_fault() -> Iterator[bytes]:
+            try:
+                yield from decoded(path, offset, length)
+            except (zstandard.ZstdError, OSError) as e:
+                fault.append(str(e))
+
+        yield from _frame_lines(until_fault())
+        for e in fault:
+            yield e.encode(), -1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, frame, offset, length in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                held, size = [], 0
+                for seq, (line, edge) in enumerate(pieces_of(path, offset, length)):
+                    held.append((path, frame, seq, line, edge))
+                    size += len(line)
+                    if size >= LINE_BYTES or len(held) == 8192:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), _PIECES.types, strict=True)], schema=_PIECES)
+                        held, size = [], 0
+                if held:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), _PIECES.types, strict=True)], schema=_PIECES)
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, parts, at = None, [], (0, 0)
+        for b in batches:
+            out = []
+            for path, frame, seq, line, edge in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if path != of:
+                    if of is not None:
+                        out.append((of, *at, b"".join(parts), 0))
+                    of, parts, at = path, [], (frame, seq)
+                parts.append(line)
+                if edge == 1:  # the line feed behind it ends the line
+                    out.append((path, *at, b"".join(parts), 0))
+                    parts = []
+                elif edge == 2:
+                    parts, at = [line], (frame, seq)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _PIECES.types, strict=True)], schema=_PIECES)
+        if of is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((of, *at, b"".join(parts), 0), _PIECES.types, strict=True)], schema=_PIECES)
+
+    schema = "path string, frame long, seq long, line binary, edge int"
+    todo = index.select("path", "frame", "offset", "length").repartition("path", "frame")
+    pieces = written(todo.mapInArrow(run, schema), "frames")
+    across = pieces.where("edge > 0").repartition("path").sortWithinPartitions("path", "frame", "seq").mapInArrow(joined, schema)
+    text = F.decode("line", "UTF-8")
+    whole = pieces.where("edge = 0").unionByName(across)
+    lines = whole.select("path", "frame", "seq", trim_line(text).alias("line")).where("line != ''")
+    return lines, pieces.where("edge = -1").select("path", "frame", text.alias("error"))
+
+
+def read_zstd_lines(spark: SparkSession, paths: list[str], glob: str = ZST, index: DataFrame | None = None) -> DataFrame:
+    """(path, line) of zstd text files of any number of frames; lines may cross frames. Frames are read in parallel; files
+    in a store that only Spark opens are read whole, one task a file."""
+    if seekable(spark, paths):
+        return zstd_lines(spark, (index if index is not None else frame_index(spark, paths, glob)).where("error IS NULL"))[0].select("path", "line")
     import io
 
+    workers_import(spark)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
@@ -164,3 +360,8 @@ def read_zstd_lines(spark: SparkSession, paths: list[str], glob: str = ZST) -> D
 
     raw = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(paths).select("path", "content")
     return raw.mapInArrow(run, "path string, line string")
+
+
+def damaged(index: DataFrame) -> DataFrame:
+    """(path, frame, offset, error): where the files of a frame index can't be read on."""
+    return index.where("error IS NOT NULL").select("path", "frame", "offset", "error")
