@@ -12,7 +12,14 @@ from typing import Any
 class Settings:
     inputs: tuple[str, ...] = ()
     output: str | None = None
+    rejected: str | None = None
     library: str | None = None
+    #: A SQL expression on `line` that gives the key by which lines are the same.
+    key: str = "line"
+    kind: str = "parquet"
+    sniff: bool = True
+    since: str | None = None
+    dry: bool = False
     max_line_bytes: int = 4096
     rows_per_part: int = 100_000_000
     hits_per_chunk: int | None = None
@@ -20,7 +27,7 @@ class Settings:
     rules_deny: tuple[str, ...] = ()
 
 
-_PATHS = ("output", "library")
+_PATHS = ("output", "rejected", "library")
 
 
 def load(path: str | None = None, given: dict[str, Any] | None = None, section: str = "millrace") -> Settings:
