@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import strings as S
 from millrace.operators import dedup, incremental, lines, search, secrets
+from millrace.plans import round_trips
 from millrace.session import scratch, table
 from millrace.streaming import dedup as stream_dedup
 
@@ -167,22 +168,18 @@ def secret_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.sha2(secrets.redacted(F.col("text"), secrets.select_rules()), 256).alias("digest"))
 
 
-def _two_runs(spark: SparkSession, sf_dir: str, second: str = "doc_id % 3 = 0") -> tuple[DataFrame, DataFrame]:
-    first = secrets.findings(_matches(spark, sf_dir, "doc_id % 2 = 0"), F.lit(DAY_1).cast("timestamp"))
-    return first, _matches(spark, sf_dir, second)
+def _two_runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The findings of a first run over the even documents, and the matches of a second run over all."""
+    return secrets.findings(_matches(spark, sf_dir, "doc_id % 2 = 0"), F.lit(DAY_1).cast("timestamp")), _matches(spark, sf_dir)
 
 
-def _merged(spark: SparkSession, sf_dir: str, second: str = "doc_id % 3 = 0") -> DataFrame:
-    first, matches = _two_runs(spark, sf_dir, second)
+def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first, matches = _two_runs(spark, sf_dir)
     return secrets.merge(first, secrets.findings(matches, F.lit(DAY_2).cast("timestamp")))
 
 
-def _with_days(merged: DataFrame) -> DataFrame:
-    return merged.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("first_seen", "last_seen")})
-
-
 def findings_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _with_days(_merged(spark, sf_dir))
+    return _merged(spark, sf_dir).withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("first_seen", "last_seen")})
 
 
 def findings_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,20 +191,6 @@ def findings_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("rule_id", "fingerprint", "seen_count")
 
 
-def findings_merge_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The second run of the _all queries reads every document, so that no finding of the table is missed."""
-    return _with_days(_merged(spark, sf_dir, "true"))
-
-
-def findings_stats_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.merge_stats(*_two_runs(spark, sf_dir, "true"))
-
-
-def findings_query_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.query(_merged(spark, sf_dir, "true"), "TOKEN", F.lit(DAY_2).cast("timestamp"), 20)
-    return found.select("rule_id", "fingerprint", "seen_count")
-
-
 def newest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select("event_id", "ts", "user_id")
     return events.orderBy(F.desc("ts"), F.desc("event_id")).limit(50).select("event_id", "user_id")
@@ -238,13 +221,6 @@ def _findings_sql(where: str, day: str) -> str:
 
 
 _MERGED = f"""m AS (
-  SELECT coalesce(o.rule_id, n.rule_id) AS rule_id, coalesce(o.rule_name, n.rule_name) AS rule_name, coalesce(o.fingerprint, n.fingerprint) AS fingerprint,
-    coalesce(o.preview, n.preview) AS preview, coalesce(o.severity, n.severity) AS severity, coalesce(o.source, n.source) AS source,
-    coalesce(o.day, n.day) AS first_seen, coalesce(n.day, o.day) AS last_seen, CAST((o.rule_id IS NOT NULL)::INT + (n.rule_id IS NOT NULL)::INT AS BIGINT) AS seen_count
-  FROM {_findings_sql("doc_id % 2 = 0", DAY_1)} o FULL JOIN {_findings_sql("doc_id % 3 = 0", DAY_2)} n ON o.rule_id = n.rule_id AND o.fingerprint = n.fingerprint)"""
-
-
-_MERGED_ALL = f"""m AS (
   SELECT coalesce(o.rule_id, n.rule_id) AS rule_id, coalesce(o.rule_name, n.rule_name) AS rule_name, coalesce(o.fingerprint, n.fingerprint) AS fingerprint,
     coalesce(o.preview, n.preview) AS preview, coalesce(o.severity, n.severity) AS severity, coalesce(o.source, n.source) AS source,
     coalesce(o.day, n.day) AS first_seen, coalesce(n.day, o.day) AS last_seen, CAST((o.rule_id IS NOT NULL)::INT + (n.rule_id IS NOT NULL)::INT AS BIGINT) AS seen_count
@@ -306,20 +282,17 @@ SELECT doc_id, CAST(pos AS INT) AS pos, "offset", n > 5 AS capped FROM h WHERE k
     "secret_findings": (secret_findings, f"SELECT doc_id, rule_id, severity, fingerprint, preview FROM {_matches_sql()}"),
     "secret_redacted": (secret_redacted, f"SELECT doc_id, sha256({_redact_sql()}) AS digest FROM documents"),
     "findings_merge": (findings_merge, f"WITH {_MERGED} SELECT * FROM m"),
-    "findings_stats": (findings_stats, f"""WITH o AS {_findings_sql("doc_id % 2 = 0", DAY_1)}, k AS (SELECT rule_id, fingerprint, count(*) AS n FROM {_matches_sql("doc_id % 3 = 0")} GROUP BY ALL)
+    "findings_stats": (findings_stats, f"""WITH o AS {_findings_sql("doc_id % 2 = 0", DAY_1)}, k AS (SELECT rule_id, fingerprint, count(*) AS n FROM {_matches_sql()} GROUP BY ALL)
 SELECT count(*) FILTER (o.rule_id IS NULL) AS n_new, count(*) FILTER (o.rule_id IS NOT NULL) AS n_existing, CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS n_duplicate
 FROM k LEFT JOIN o ON o.rule_id = k.rule_id AND o.fingerprint = k.fingerprint"""),
     "findings_query": (findings_query, f"""WITH {_MERGED} SELECT rule_id, fingerprint, seen_count FROM m
-WHERE (lower(rule_id) LIKE '%token%' OR lower(rule_name) LIKE '%token%') AND last_seen >= '{DAY_2}' ORDER BY last_seen DESC, rule_id, fingerprint LIMIT 20"""),
-    "findings_merge_all": (findings_merge_all, f"WITH {_MERGED_ALL} SELECT * FROM m"),
-    "findings_stats_all": (findings_stats_all, f"""WITH o AS {_findings_sql("doc_id % 2 = 0", DAY_1)}, k AS (SELECT rule_id, fingerprint, count(*) AS n FROM {_matches_sql()} GROUP BY ALL)
-SELECT count(*) FILTER (o.rule_id IS NULL) AS n_new, count(*) FILTER (o.rule_id IS NOT NULL) AS n_existing, CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS n_duplicate
-FROM k LEFT JOIN o ON o.rule_id = k.rule_id AND o.fingerprint = k.fingerprint"""),
-    "findings_query_all": (findings_query_all, f"""WITH {_MERGED_ALL} SELECT rule_id, fingerprint, seen_count FROM m
 WHERE (lower(rule_id) LIKE '%token%' OR lower(rule_name) LIKE '%token%') AND last_seen >= '{DAY_2}' ORDER BY last_seen DESC, rule_id, fingerprint LIMIT 20"""),
     "newest_first": (newest_first, "SELECT event_id, user_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 50"),
     "stream_dedup": (stream_dedup_events, "SELECT DISTINCT event_id, user_id, event_type FROM events"),
 }
 
+_PAIRS |= round_trips.PAIRS
+_PAIRS["secret_once"] = (round_trips.secret_once, _PAIRS["secret_findings"][1])
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: q for name, (q, _) in _PAIRS.items()}
 SQL: dict[str, str] = {name: s for name, (_, s) in _PAIRS.items() if s}
