@@ -104,11 +104,13 @@ def read_back(formatted: DataFrame) -> DataFrame:
     block = F.col("kind") == 2
     body = F.substr("text", F.locate("\n", "text") + F.lit(1))
     role = unescape(F.replace(F.substring_index(F.substr("text", F.lit(len(START) + 1)), "\n", 1), F.lit("&#10;"), F.lit("\n")))
-    rows = rows.select(
-        "conv_id", F.when(~block, F.struct("text", "loss")).alias("whole"), F.col("kind") == 0,
-        F.when(block, F.struct("pos", role.alias("role"), unescape(body).alias("text"), F.when(F.col("under").isNotNull(), unescape(F.right(body, F.col("under").cast("int")))).alias("trained"))).alias("turn"),
-    ).withColumnRenamed("(kind = 0)", "head")
-    got = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("turn")).alias("t"), F.max_by("whole", "head").alias("whole"))
+    rows = rows.where(F.col("kind") != 1).select(
+        "conv_id", "pos", F.when(~block, F.struct("text", "loss")).alias("whole"),
+        F.when(block, F.struct(role.alias("role"), unescape(body).alias("text"), F.when(F.col("under").isNotNull(), unescape(F.right(body, F.col("under").cast("int")))).alias("trained"))).alias("turn"),
+    )
+    # the whole text stands in the list's first row only: an aggregate of its own would copy it at every row
+    got = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("pos", "turn", "whole"))).alias("t"))
+    got = got.select("conv_id", F.transform(F.slice("t", F.lit(2), F.size("t")), lambda x: x["turn"]).alias("t"), F.get("t", F.lit(0))["whole"].alias("whole"))
     return got.select(
         "conv_id", F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("turns"),
         F.transform(F.filter("t", lambda x: x["trained"].isNotNull()), lambda x: x["trained"]).alias("trained"), F.col("whole.text").alias("formatted"), F.col("whole.loss").alias("loss"),
