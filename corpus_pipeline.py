@@ -2,6 +2,14 @@
 
 Each stage takes (spark, docs, sf_dir), works on every row of docs and returns a DataFrame that is
 written as Parquet and read again for the next. All but the last return the columns of documents.
+
+Defined results: a null or empty text, or one of fewer than 20 words, fails the base rules of the first
+stage. Equal rows are one group of copies, so one of them is left by the third; of a group the row of the
+least doc_id stays, and of equal doc_ids that of the least text hash. A null doc_id is a document like any
+other. Without labels no document is rejected by the classifier beyond what the share of good labels (a
+half) says, and the rules compare the corpus with itself. Without benchmark items nothing is contaminated.
+Without documents every stage returns no row. Extra columns pass through the first four stages. Texts may
+have any length; in the last they are cut into runs of 1024 tokens.
 """
 
 from __future__ import annotations
@@ -13,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm import decontaminate, jaccard_join, packing, quality_knn, quality_rules
 from millrace.llm.queries import id_remainder
-from millrace.session import table, workers_import, written
+from millrace.session import release, table, workers_import, written
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,5 +69,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        before, docs = docs, written(stage(spark, docs, sf_dir), name)
+        release(before)
     return STAGES[-1][1](spark, docs, sf_dir)
