@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.session import written
+from millrace.session import few, written
 
 
 def first_of_key(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -19,6 +19,16 @@ def first_of_key(rows: DataFrame, keys: list[str], order: list[str]) -> DataFram
     return least.select(*(F.col(c) if c in keys else F.col(f"first.{c}").alias(c) for c in rows.columns))
 
 
+def first_of_content(rows: DataFrame, content: str, ids: list[str]) -> DataFrame:
+    """The row of each distinct content (by digest and length) with the least ids, which tell rows apart; null is a content.
+    Contents stay where they are unless more rows go than can be broadcast: what moves is digests and ids."""
+    digest, size = F.coalesce(F.sha2(content, 256), F.lit("")), F.coalesce(F.octet_length(content), F.lit(-1))
+    keyed = rows.select(digest.alias("_digest"), size.alias("_size"), F.struct(*ids).alias("_ids"))
+    least = keyed.groupBy("_digest", "_size").agg(F.min("_ids").alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    go = keyed.join(few(written(least, "repeated")), ["_digest", "_size"]).where("_ids != _first").select("_ids.*")
+    return rows.join(few(written(go, "copies")), ids, "left_anti")
+
+
 def union_distinct(*runs: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, runs).distinct()
 

@@ -45,7 +45,7 @@ def run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dedup_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.first_of_key(documents(spark, sf_dir).select("doc_id", "text", "source"), ["text"], ["doc_id"])
+    return dedup.first_of_content(documents(spark, sf_dir).select("doc_id", "text", "source"), "text", ["doc_id"])
 
 
 def dedup_pages_by_url(spark: SparkSession, sf_dir: str) -> DataFrame:

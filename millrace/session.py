@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _made: list[str] = []
 
@@ -80,6 +81,16 @@ WORKER_ENV = {
 }
 
 
+#: Rows of a few numbers each that are broadcast at most.
+FEW = 1_000_000
+
+
+def few(df: DataFrame, rows: int = FEW) -> DataFrame:
+    """df marked for a broadcast if it has no more rows than that; else a join shuffles it. df is counted, so it should be
+    a written table."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def workers_import(spark: SparkSession) -> None:
     """Makes the session's Python workers ready: they import this package from where the driver has it (single-machine
     sessions), get bounded batches, and hold no more memory than they use. What the user has set stays."""

@@ -6,7 +6,7 @@ import zstandard
 
 from millrace import config
 from millrace.operators import file_search, incremental, search, secrets
-from millrace.operators.dedup import numbered, once_per_content
+from millrace.operators.dedup import first_of_content, numbered, once_per_content
 from millrace.run import run
 from millrace.sources import text
 
@@ -98,3 +98,10 @@ def test_hot_keys(spark):
     assert incremental.unseen(batch, library, ["line"], ["id"]).count() == 1332
     equal = spark.range(100).selectExpr("1 AS a", "'same' AS b")
     assert sorted(r.number for r in numbered(equal, ["a"]).collect()) == list(range(1, 101))
+
+
+def test_first_of_content(spark):
+    rows = spark.createDataFrame([(3, 1, "a"), (2, 5, "a"), (2, 4, "a"), (1, 0, None), (0, 9, None), (7, 7, "")], "a int, b int, text string")
+    for texts in (rows, rows.where("false")):
+        got = sorted(tuple(r) for r in first_of_content(texts, "text", ["a", "b"]).select("a", "b").collect())
+        assert got == ([(0, 9), (2, 4), (7, 7)] if texts is rows else [])
