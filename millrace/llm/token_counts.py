@@ -38,7 +38,7 @@ CONTRACTIONS = ("'re", "'ve", "'ll", "'s", "'t", "'m", "'d")
 BEYOND = regex.compile("[\U00010000-\U0010ffff]")
 RUN = regex.compile(r"\s{2,}+")
 #: Distinct pieces, bytes of their tables' entries, and pairs of tokens, that a worker keeps.
-PIECES, ENTRIES, PAIRS = 500_000, 8_000_000, 1_000_000
+PIECES, ENTRIES, PAIRS = 1_000_000, 16_000_000, 2_000_000
 #: Pieces of more bytes go through the automaton.
 LONG = 512
 #: Texts, and their bytes (one text at least), that are worked on together.
