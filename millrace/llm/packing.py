@@ -130,8 +130,10 @@ def pack(made: DataFrame, capacity: int = CAPACITY, bins: int = BINS, turn: int
 
 
 def sequences(docs: DataFrame, vocabulary: str, end: int | None, capacity: int = CAPACITY) -> DataFrame:
-    """(sequence_id, ids, doc_ids): the packed sequences themselves, ids as little-endian unsigned 32-bit integers."""
-    packed = pack(runs(docs, vocabulary, end, capacity, with_ids=True), capacity)
-    own = packed.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "ids", "doc_id"))).alias("r"))
+    """(sequence_id, ids, doc_ids): the packed sequences themselves, ids as little-endian unsigned 32-bit integers. Runs are
+    packed by their lengths alone, so no task holds the ids of more than the sequences it puts together."""
+    made = written(runs(docs, vocabulary, end, capacity, with_ids=True).withColumn("run", F.monotonically_increasing_id()), "ids")
+    placed = pack(made.select("run", "length"), capacity).drop("length")
+    own = placed.join(made.select("run", "ids", "doc_id"), "run").groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "ids", "doc_id"))).alias("r"))
     empty = F.lit(b"").cast("binary")
     return own.select("sequence_id", F.aggregate("r", empty, lambda acc, x: F.concat(acc, x["ids"])).alias("ids"), F.transform("r", lambda x: x["doc_id"]).alias("doc_ids"))
