@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.session import release, written
+from millrace.session import FEW, release, written
 
 #: Edges that one forest takes in.
 EDGES = 1 << 20
@@ -56,12 +56,14 @@ def components(edges: DataFrame) -> DataFrame:
     both = written(tree.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(tree.select(F.col("b").alias("node"), F.col("a").alias("other"))).distinct(), "edges")
     held = written(both.groupBy("node").agg(F.min("other").alias("other")).select("node", F.least("node", "other").alias("label")), "labels")
     release(tree)
+    # a row a node: a table of few is sent whole, so that a round shuffles once
+    near_by = F.broadcast if held.count() <= FEW else lambda df: df
     while True:
         labels = held.select("node", "label")
-        near = both.join(labels.select(F.col("node").alias("other"), "label"), "other").groupBy("node").agg(F.min("label").alias("near"))
-        hooked = labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
+        near = both.join(near_by(labels.select(F.col("node").alias("other"), "label")), "other").groupBy("node").agg(F.min("label").alias("near"))
+        hooked = near.join(near_by(labels), "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
         up = labels.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        new = written(hooked.join(up, "label").select("node", "was", F.least("label", "up").alias("label")), "labels")
+        new = written(hooked.join(near_by(up), "label").select("node", "was", F.least("label", "up").alias("label")), "labels")
         release(held)
         held = new
         if new.where("label != was").isEmpty():

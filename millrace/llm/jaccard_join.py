@@ -12,11 +12,12 @@ the whole sequence). Documents of equal sets are one class; the join runs betwee
 3. In each posting list, ordered by size, pairs pass the length filter and the positional filter; a pair
    that also shares the shingle before this one in both prefixes is left to that list. Short lists give
    all such pairs. Lists over LIST_LIMIT entries give each entry's WINDOW predecessors and the list's
-   first HEADS entries, and are kept: once their pairs are verified and joined into components, only
-   pairs of different components are left to look at, those of entries outside the list's largest
-   component with all others: first within groups of some PARTNERS entries, in the last round all that are
-   still apart. A long list is dealt over cells of CELL entries a side, so no list is one task's; in a cell
-   the suffix filter is applied before a pair is given out. So no link between components is lost, and a
+   first HEADS entries, and are kept but for entries that can pass these filters with no other entry of the
+   list: once the pairs are verified and joined into components, only pairs of different components are left
+   to look at, those of entries outside the list's largest component with all others: in lists with many such
+   entries first within groups of some PARTNERS, in the last round all that are still apart. A long list is
+   dealt over cells of CELL entries a side, so no list is one task's; in a cell the suffix filter is applied
+   before a pair is given out, and no pair is verified twice. So no link between components is lost, and a
    group of thousands of copies costs a few comparisons for each copy and not all its pairs.
 4. Every candidate pair is verified once: a suffix filter bounds the overlap by what both sets hold of
    each of many hash ranges; for the pairs left, the texts are read again and the exact overlap decides.
@@ -40,7 +41,7 @@ from pyspark.sql import functions as F
 from millrace.llm import words as W
 from millrace.llm.components import components
 from millrace.operators.dedup import first_of_key
-from millrace.session import release, written
+from millrace.session import few, release, written
 
 K = 5
 PER_100 = 80
@@ -50,7 +51,8 @@ BLOCK_SHINGLES = 4 << 20
 LIST_LIMIT = 6
 WINDOW = 3
 HEADS = 2
-#: Entries of the groups in which entries of a long list meet in each round across components; None: all entries.
+#: Entries of the groups in which lists with more entries than that outside their largest component meet, in each round
+#: across components; None: all lists, and all entries.
 PARTNERS = (32, 256, None)
 #: Entries on each side of a cell of a long list, about, and pairs that are looked at together.
 CELL, PAIRS = 2048, 1 << 20
@@ -59,8 +61,10 @@ SKETCH = 256
 #: Entries of one shingle that go to one bucket, about; lists that are longer by the counts are dealt over several.
 HOT = 500_000
 _DEALT = 1 << 31
-#: Documents to verify whose ids are broadcast to the texts; for more, the texts are shuffled.
+#: Rows of ids or names that are broadcast; tables of more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Entries that are dealt to buckets together, each class once.
+HELD = 1 << 19
 #: Bytes of packed prefixes that a task takes, about.
 BUCKET_BYTES = 8 << 20
 U64 = np.uint64
@@ -148,8 +152,8 @@ def prefixes(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], buckets:
         hot, count = sent.value
         filt = np.zeros(1 << 20, bool)
         filt[(hot >> U64(44)).astype(np.int64)] = True
+        held, salts, known, size = [], [], set(), 0
         for b in batches:
-            held, salts, known, size = [], [], set(), 0
             for _, s in shingle_sets(b.column(0)):
                 n = len(s)
                 if n and (c := class_of(s)) not in known:
@@ -164,11 +168,11 @@ def prefixes(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], buckets:
                     salts.append(c % parts)
                     held.append(e)
                     size += p
-                if size > 1 << 20:
+                if size > HELD:
                     yield deal(held, salts)
-                    held, salts, size = [], [], 0
-            if held:
-                yield deal(held, salts)
+                    held, salts, known, size = [], [], set(), 0
+        if held:
+            yield deal(held, salts)
 
     def deal(held: list[np.ndarray], salts: list[np.ndarray]) -> pa.RecordBatch:
         e = np.concatenate(held)
@@ -220,7 +224,28 @@ def list_pairs(e: np.ndarray, per_100: int) -> tuple[np.ndarray, np.ndarray]:
         j = np.flatnonzero(long & (place > h))
         held.append(_pairs(e, head[j] + h, j, per_100))
     pairs = np.concatenate(held) if held else np.zeros((0, 2), np.int64)
-    return np.unique(pairs, axis=0), e[long]
+    kept, of, whole = e[long], of[long], ~dealt[long]
+    for _ in range(2):
+        may = ~whole | has_partner(kept, of, per_100)
+        kept, of, whole = kept[may], of[may], whole[may]
+    return np.unique(pairs, axis=0), kept
+
+
+def has_partner(e: np.ndarray, of: np.ndarray, per_100: int) -> np.ndarray:
+    """Which entries of lists (sorted by list and size; of names the list) have some other entry of a size that the length
+    filter and their own place allow, in a list whose entries don't all have the same shingle before this one."""
+    if not len(e):
+        return np.zeros(0, bool)
+    n = e["n"].astype(np.int64)
+    most = np.minimum(100 * n // per_100, (100 + per_100) * (n - e["pos"]) // per_100 - n)
+    least = -(-per_100 * n // 100)
+    base = of.astype(np.int64) << 33
+    key = base + n
+    partners = np.searchsorted(key, base + most, "right") - np.searchsorted(key, base + least) - ((least <= n) & (n <= most))
+    new = np.concatenate([[True], of[1:] != of[:-1]])
+    head = np.flatnonzero(new)
+    mixed = np.minimum.reduceat(e["before"], head) != np.maximum.reduceat(e["before"], head)
+    return (partners > 0) & mixed[np.cumsum(new) - 1]
 
 
 def candidates(packed: DataFrame, buckets: int, per_100: int) -> DataFrame:
@@ -303,8 +328,7 @@ def verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, per_100: int) ->
             yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.binary())], names=["class", "data"])
 
     need = written(need, "needed")
-    few = F.broadcast(need) if need.count() <= BROADCAST_IDS else need
-    text = docs.join(few, docs["doc_id"].eqNullSafe(need["doc_id"])).select("class", "text")
+    text = docs.join(_few(need), docs["doc_id"].eqNullSafe(need["doc_id"])).select("class", "text")
     held = written(text.mapInArrow(sets, "class long, data binary"), "sets")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -338,27 +362,41 @@ def _candidates_of(docs: DataFrame, id_col: str, text_col: str, per_100: int) ->
 def _grouped(docs: DataFrame, id_col: str, text_col: str, per_100: int) -> DataFrame:
     """(doc_id, text_hash, n, part): part names the component of each row, null for rows without a word."""
     docs, members, reps, found = _candidates_of(docs, id_col, text_col, per_100)
-    links = verify(found.where("a is not null").select("a", "b").distinct(), reps, docs, per_100)
+    tested = [written(found.where("a is not null").select("a", "b").distinct(), "pairs")]
+    links = verify(tested[0], reps, docs, per_100)
     labels = components(links)
-    lists = found.where("shingle is not null").select("shingle", "class", "n", "pos", "before")
-    for turn in range(len(PARTNERS)):
-        more = written(across(lists, labels, reps, per_100, turn), "across")
-        if not more.isEmpty():
-            new, old, was = verify(more, reps, docs, per_100), links, labels
-            links = written(old.unionByName(new), "links")
-            labels = components(links)
-            release(new, old, was)
-        release(more)
-    release(found, reps, links)
-    named = members.select("doc_id", "text_hash", "class", "n").join(labels.select(F.col("node").alias("class"), "label"), "class", "left")
+    at, mixed = mixed_lists(found.where("shingle is not null").select("shingle", "class", "n", "pos", "before"), labels)
+    for partners in PARTNERS:
+        now = mixed.where(F.col("n_away") > partners) if partners else mixed
+        if now.isEmpty():
+            continue
+        more = across(at, now, reps, per_100, partners)
+        for t in tested:
+            more = more.join(_few(t), ["a", "b"], "left_anti")
+        more = written(more, "pairs")
+        tested.append(more)
+        new = verify(more, reps, docs, per_100)
+        if new.isEmpty():
+            release(new)
+            continue
+        old, was = links, labels
+        links = written(old.unionByName(new), "links")
+        labels = components(links)
+        release(new, old, was)
+        if partners:
+            before = at, mixed
+            at, mixed = mixed_lists(at.select("shingle", "class", "n", "pos", "before"), labels)
+            release(*before)
+    release(found, reps, links, at, mixed, *tested)
+    named = members.select("doc_id", "text_hash", "class", "n").join(_few(labels.select(F.col("node").alias("class"), "label")), "class", "left")
     return named.select("doc_id", "text_hash", "n", F.when(F.col("n") > 0, F.coalesce("label", "class")).alias("part"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_100: int = PER_100) -> DataFrame:
     """(id_col, n_shingles, component_id): one row for each row of docs."""
     named = _grouped(docs, id_col, text_col, per_100)
-    least = named.where("n > 0").groupBy("part").agg(F.min("doc_id").alias("least"))
-    out = named.join(least, "part", "left")
+    least = named.where("n > 0").groupBy("part").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")).where("rows > 1").select("part", "least")
+    out = named.join(_few(written(least, "least")), "part", "left")  # who is alone is in no row of it, and names itself
     return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
@@ -368,7 +406,7 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_1
     docs, members, reps, found = _candidates_of(docs, id_col, text_col, per_100)
     at = found.where("shingle is not null").select("shingle", "class", "n", "pos", "before", F.col("class").alias("part"), F.lit(True).alias("away"))
     sizes = at.groupBy("shingle").agg(F.count("*").alias("size"), F.count("*").alias("n_away"))
-    pairs = found.where("a is not null").select("a", "b").unionByName(_met(at, sizes, reps, per_100, None))
+    pairs = found.where("a is not null").select("a", "b").unionByName(_met(at.join(_few(sizes), "shingle"), reps, per_100, None))
     return verify(pairs.distinct(), reps, docs, per_100), members.where("n > 0").select(F.col("doc_id").alias(id_col), "class")
 
 
@@ -378,11 +416,11 @@ def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     named = _grouped(docs, id_col, text_col, per_100).where("n > 0")
     key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     named = written(named.select("part", key.alias("key")), "grouped")
-    kept = named.groupBy("part").agg(F.min("key").alias("least"), F.count("*").alias("rows")).where("rows > 1")
-    placed = named.join(kept, "part")
+    kept = written(named.groupBy("part").agg(F.min("key").alias("least"), F.count("*").alias("rows")).where("rows > 1").select("part", "least"), "least")
+    placed = named.join(_few(kept), "part")
     go = written(placed.where("key != least").select("key.doc_id", "key.text_hash").distinct(), "copies")
     again = written(placed.where("key = least").groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key.doc_id", "key.text_hash"), "repeated")
-    release(named)
+    release(named, kept)
     one = docs.join(_few(go), _is(docs, go, id_col, text_col), "left_anti")
     if again.isEmpty():
         return one
@@ -391,49 +429,54 @@ def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def _few(ids: DataFrame) -> DataFrame:
-    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return few(ids, BROADCAST_IDS)
 
 
 def _is(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str):
     return docs[id_col].cast("long").eqNullSafe(ids["doc_id"]) & (F.xxhash64(docs[text_col].cast("string")) == ids["text_hash"])
 
 
-def across(lists: DataFrame, labels: DataFrame, reps: DataFrame, per_100: int, turn: int) -> DataFrame:
-    """Candidate pairs of entries of a long list whose components differ: within groups of about PARTNERS[turn] entries,
-    or all; without those that met in earlier turns."""
-    at = lists.join(labels.select(F.col("node").alias("class"), "label"), "class", "left").withColumn("part", F.coalesce("label", "class")).drop("label")
-    parts = at.groupBy("shingle", "part").agg(F.count("*").alias("size"))
+def mixed_lists(lists: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(entries with their component, (shingle, size, n_away, largest)) of the long lists that hold several components,
+    n_away entries outside the largest; a list of one component needs no further look. Both are written."""
+    every = lists.join(_few(labels.select(F.col("node").alias("class"), "label")), "class", "left")
+    every = written(every.select("shingle", "class", "n", "pos", "before", F.coalesce("label", "class").alias("part")), "entries")
+    parts = every.groupBy("shingle", "part").agg(F.count("*").alias("size"))
     mixed = parts.groupBy("shingle").agg(F.max(F.struct("size", "part")).alias("largest"), F.sum("size").alias("size"), F.count("*").alias("parts")).where("parts > 1")
-    if turn:  # every pair of a list of no more entries has met
-        mixed = mixed.where(F.col("size") > PARTNERS[turn - 1])
     mixed = written(mixed.select("shingle", "size", (F.col("size") - F.col("largest.size")).alias("n_away"), F.col("largest.part").alias("largest")), "lists")
-    at = at.join(_few(mixed.select("shingle", "largest")), "shingle").withColumn("away", F.col("part") != F.col("largest")).drop("largest")
-    return _met(at, mixed.select("shingle", "size", "n_away"), reps, per_100, turn)
-
-
-def _met(at: DataFrame, sizes: DataFrame, reps: DataFrame, per_100: int, turn: int | None) -> DataFrame:
-    """Distinct candidate pairs (a, b) of entries (shingle, class, n, pos, before, part, away) of the lists in sizes
-    (shingle, size, n_away): those of different parts, one of them away, that pass all filters."""
-    need = at.select("class").distinct()
-    at = at.join(_few(sizes), "shingle").join(reps.join(need, "class").select("class", "ranges").mapInArrow(_sketches, "class long, sketch binary"), "class")
-    earlier = [k for k, p in enumerate(PARTNERS) if turn is not None and k < turn]
-    group = lambda k: F.pmod(F.xxhash64("class", F.lit(k)), F.ceil(F.col("size") / PARTNERS[k]))
-    at = at.withColumn("before_met", F.array(*(group(k) for k in earlier)).cast("array<long>"))
-    no, yes = F.lit(False), F.lit(True)
-    if turn is not None and PARTNERS[turn]:
-        at = at.withColumn("cell", F.array(F.struct(group(turn).alias("i"), F.lit(0).cast("long").alias("j"), F.col("away").alias("x"), yes.alias("y"))))
+    at = written(every.join(_few(mixed.select("shingle")), "shingle", "left_semi"), "entries")
+    release(every)
+    return at, mixed
+
+
+def across(at: DataFrame, lists: DataFrame, reps: DataFrame, per_100: int, partners: int | None) -> DataFrame:
+    """Candidate pairs of entries of some of the mixed lists whose components differ: those within groups of about
+    `partners` entries, or all."""
+    at = at.join(_few(lists), "shingle").withColumn("away", F.col("part") != F.col("largest")).drop("largest")
+    return _met(at, reps, per_100, partners)
+
+
+def _met(at: DataFrame, reps: DataFrame, per_100: int, partners: int | None) -> DataFrame:
+    """Distinct candidate pairs (a, b) of entries (shingle, class, n, pos, before, part, away, size, n_away) of one list:
+    those of different parts, one of them away, that pass all filters. size: entries of the list; n_away: those away."""
+    need = _few(written(at.select("class").distinct(), "needed"))
+    at = at.join(reps.join(need, "class").select("class", "ranges").mapInArrow(_sketches, "class long, sketch binary"), "class")
+    no, yes, zero = F.lit(False), F.lit(True), F.lit(0).cast("long")
+    if partners:
+        group = F.pmod(F.xxhash64("class", F.lit(partners)), F.ceil(F.col("size") / partners))
+        at = at.withColumn("cell", F.array(F.struct(group.alias("i"), zero.alias("j"), F.col("away").alias("x"), yes.alias("y"))))
     else:
         rows, columns = F.ceil(F.col("n_away") / CELL), F.ceil(F.col("size") / CELL)
-        zero = F.lit(0).cast("long")
         mine, theirs = F.pmod(F.xxhash64("class", F.lit(-1)), rows), F.pmod(F.xxhash64("class", F.lit(-2)), columns)
         x = F.transform(F.sequence(zero, columns - 1), lambda j: F.struct(mine.alias("i"), j.alias("j"), yes.alias("x"), no.alias("y")))
         y = F.transform(F.sequence(zero, rows - 1), lambda i: F.struct(i.alias("i"), theirs.alias("j"), no.alias("x"), yes.alias("y")))
         at = at.withColumn("cell", F.when(F.col("away"), F.concat(x, y)).otherwise(y))
-    dealt = at.select("shingle", F.explode("cell").alias("c"), "class", "n", "pos", "before", "part", "away", "sketch", "before_met").select("shingle", "c.*", "class", "n", "pos", "before", "part", "away", "sketch", "before_met")
+    entry = ["class", "n", "pos", "before", "part", "away", "sketch"]
+    dealt = at.select("shingle", F.explode("cell").alias("c"), *entry).select("shingle", "c.*", *entry)
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cells in _whole_cells(batches):
-            yield from _cell_pairs(cells, per_100, len(earlier))
+            yield from _cell_pairs(cells, per_100)
 
     return dealt.repartition("shingle", "i", "j").sortWithinPartitions("shingle", "i", "j").mapInArrow(pairs, "a long, b long").distinct()
 
@@ -472,24 +515,23 @@ def _whole_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _cell_pairs(cells: pa.Table, per_100: int, earlier: int) -> Iterator[pa.RecordBatch]:
+def _cell_pairs(cells: pa.Table, per_100: int) -> Iterator[pa.RecordBatch]:
     keys = np.stack([cells.column(k).to_numpy() for k in range(3)], 1)
     group = np.concatenate([[0], np.cumsum((keys[1:] != keys[:-1]).any(1))])
     x, y, away = (cells.column(k).to_numpy() for k in ("x", "y", "away"))
     cls, n, pos, before, part = (cells.column(k).to_numpy() for k in ("class", "n", "pos", "before", "part"))
-    met = np.array(cells.column("before_met").combine_chunks().flatten()).reshape(len(cls), earlier) if earlier else None
     sketch = _Sketches(cells.column("sketch").to_pylist())
     xs, ys = np.flatnonzero(x), np.flatnonzero(y)
     lo = np.searchsorted(group[ys], group[xs])
     many = np.searchsorted(group[ys], group[xs], "right") - lo
-    cuts = np.flatnonzero(np.diff((np.cumsum(many) - many) // PAIRS, prepend=-1)) if len(xs) else np.zeros(0, np.int64)
+    if not len(xs):
+        return
+    cuts = np.flatnonzero(np.diff((np.cumsum(many) - many) // PAIRS, prepend=-1))
     for a, b in zip(cuts, np.append(cuts[1:], len(xs)), strict=True):
         k = many[a:b]
         i = np.repeat(xs[a:b], k)
         j = ys[np.repeat(lo[a:b] - (np.cumsum(k) - k), k) + np.arange(int(k.sum()))]
         ok = (part[i] != part[j]) & (before[i] != before[j]) & (~away[j] | (cls[i] < cls[j]))
-        for e in range(earlier):
-            ok &= met[i, e] != met[j, e]
         i, j = i[ok], j[ok]
         need = -(-per_100 * (n[i] + n[j]) // (100 + per_100))
         ok = (100 * np.minimum(n[i], n[j]) >= per_100 * np.maximum(n[i], n[j])) & (1 + np.minimum(n[i] - pos[i], n[j] - pos[j]) - 1 >= need)
