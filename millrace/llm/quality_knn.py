@@ -8,12 +8,14 @@ its cosine to every labelled vector is computed exactly (a matrix product in blo
 nearest labelled texts vote with their similarity to the power SHARP.
 
 Learning: labelled rows are sampled by a hash of their id so that about SAMPLE are used whatever their
-number; so the broadcast vectors have a fixed size.
+number; if ids are of many rows, the rows found are sampled once more, by a hash of id and text. So the
+broadcast vectors have a fixed size, and the driver holds no more than that.
 
 Defined results: null and empty texts (and all texts if there is no label) are like nothing, so their
 score is the labelled share of ones (0.5 without labels). Ties among neighbours go to the earlier in
-hash order. Null labels are not learnt from; of several labels of a document each counts. Repeated rows
-each get a row; extra columns are ignored.
+hash order. Null labels are not learnt from; of several labels of a document each counts, and so does each
+text under its id, but equal rows (of one id, label and terms) are learnt once. Repeated rows each get a
+score; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ from millrace.llm.lang_id import sampled
 TERMS = 4096
 RANK = 64
 SAMPLE = 4000
+#: Times SAMPLE that the rows of the sampled ids may be before they are sampled themselves.
+SLACK = 1.25
 NEIGHBOURS = 15
 SHARP = 4
 #: Bytes (one text at least) and texts of a block; its dense matrix has a row for each text.
@@ -106,10 +110,12 @@ class Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Model:
-    known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).dropna()
+    known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).dropna().distinct()
     chosen = sampled(known, F.col("doc_id"), sample)  # about `sample` rows, so they are broadcast
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     texts = rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
+    if texts.select("doc_id").count() > SLACK * sample:
+        texts = _few_texts(texts, sample)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -123,12 +129,22 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 )
 
     got = texts.mapInArrow(count, "doc_id long, label int, at binary, n binary").orderBy(F.xxhash64("doc_id"), "doc_id", "label", "at", "n").collect()
+    got = [r for r, before in zip(got, [None, *got], strict=False) if r != before]
     counts = np.zeros((len(got), TERMS), np.int32)
     for i, r in enumerate(got):
         counts[i, np.frombuffer(r["at"], "<u2")] = np.frombuffer(r["n"], "<u4")
     return Model(counts, np.array([r["label"] for r in got], np.float32))
 
 
+def _few_texts(texts: DataFrame, sample: int) -> DataFrame:
+    """About sample of the distinct rows of texts (doc_id, label, text); all if there are no more."""
+    keyed = texts.withColumn("hash", F.xxhash64("text"))
+    n = keyed.select("doc_id", "label", "hash").distinct().count()  # numbers are moved, no text
+    if n > sample:
+        keyed = keyed.where(F.pmod(F.xxhash64("doc_id", "hash"), F.lit(1 << 40)) < int(sample / n * (1 << 40)))
+    return keyed.dropDuplicates(["doc_id", "label", "hash"]).drop("hash")
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, score): one row for each row of docs."""
     sent = docs.sparkSession.sparkContext.broadcast(model)

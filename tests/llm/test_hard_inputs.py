@@ -226,3 +226,14 @@ def test_cells_without_an_entry_away():
     n = pa.array([5, 5], pa.int64())
     cells = pa.table({"shingle": n, "i": n, "j": n, "x": pa.array([False, False]), "y": pa.array([True, True]), "class": pa.array([1, 2], pa.int64()), "n": n, "pos": n, "before": n, "part": n, "away": pa.array([False, False]), "sketch": pa.array([b"\1", b"\1"], pa.binary())})
     assert list(jj._cell_pairs(cells, 80)) == []
+
+
+def test_classifier_learns_a_bounded_sample_of_repeated_ids(spark, docs):
+    """Ids of many rows, equal or not, and labels that are repeated: what the driver collects and sends stays small."""
+    labels = spark.createDataFrame([(i, i % 2) for i in range(10)] * 3, "doc_id long, quality int")
+    equal = docs([(i, f"text number {i} of ten") for i in range(10) for _ in range(40)])
+    assert len(quality_knn.train(equal, labels, sample=20).labels) == 10
+    other = docs([(i, f"text {i} as written in copy{k} of many") for i in range(10) for k in range(200)])
+    assert 40 <= len(quality_knn.train(other, labels, sample=100).labels) <= 160
+    once = quality_knn.train(docs([(i, f"text number {i} of ten") for i in range(10)]), labels.distinct(), sample=20)
+    assert np.array_equal(once.labels, quality_knn.train(equal, labels, sample=20).labels)
