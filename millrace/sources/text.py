@@ -6,12 +6,13 @@ import re
 from collections.abc import Iterator
 from datetime import UTC, datetime, timedelta
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.strings import MAX_LINE_BYTES, trim_line
-from millrace.session import workers_import, written
+from millrace.session import few, workers_import, written
 
 TXT = "*.[tT][xX][tT]"
 ZST = "*.[zZ][sS][tT]"
@@ -89,12 +90,15 @@ def _hadoop(spark: SparkSession, path: str):
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
-def sniffed(spark: SparkSession, paths: list[str], glob: str = TXT) -> DataFrame:
-    """(path, encoding) by byte order mark; UTF-8 without one. Two bytes of each file are read, where the store allows it."""
-    kind = lambda head: F.when(head.startswith("FFFE"), "UTF-16LE").when(head.startswith("FEFF"), "UTF-16BE").otherwise("UTF-8")
+def _kind(head: Column) -> Column:
+    return F.when(F.hex(head).startswith("FFFE"), "UTF-16LE").when(F.hex(head).startswith("FEFF"), "UTF-16BE").otherwise("UTF-8")
+
+
+def _heads(spark: SparkSession, paths: list[str], glob: str) -> DataFrame:
+    """(path, length, encoding) by byte order mark; two bytes of each file are read, where the store allows it."""
     if not seekable(spark, paths):
         raw = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(paths)
-        return raw.select("path", kind(F.hex(F.substring("content", 1, 2))).alias("encoding"))
+        return raw.select("path", "length", _kind(F.substring("content", 1, 2)).alias("encoding"))
     workers_import(spark)
 
     def head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,27 +107,101 @@ def sniffed(spark: SparkSession, paths: list[str], glob: str = TXT) -> DataFrame
             for path in b.column(0).to_pylist():
                 with _opened(path) as f:
                     out.append(f.read(2))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["path", "head"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], names=["path", "length", "head"])
+
+    return _listed(spark, paths, glob).mapInArrow(head, "path string, length long, head binary").select("path", "length", _kind(F.col("head")).alias("encoding"))
+
+
+def sniffed(spark: SparkSession, paths: list[str], glob: str = TXT) -> DataFrame:
+    """(path, encoding) by byte order mark; UTF-8 without one."""
+    return _heads(spark, paths, glob).select("path", "encoding")
+
+
+#: Bytes of a UTF-16 file that a task reads, an even number; tasks of one file's ranges at most; lines of a batch.
+RANGE_BYTES, RANGE_TASKS, BATCH_LINES = 8 << 20, 10_000, 8192
+
+
+def _wide_lines(f, start: int, end: int, little: bool) -> Iterator[pa.Array]:
+    """The lines, without line feeds and empty ones, of an open UTF-16 file that begin at bytes start to end. A range that
+    isn't the first begins to look one unit before, and what it holds before its first line feed belongs to the range
+    that the line began in; so each line is given once, and of a range within a line nothing is held."""
+    at = max(2, start - 2)  # behind the mark
+    held: list[bytes] | None = None if start else []  # of the line that has begun
+    rest = b""
+    f.seek(at)
+    while True:
+        got = f.read(READ_BYTES)
+        data = rest + got
+        if not got:  # half a unit at the end stays, for the decoder to tell
+            if held is not None and (line := b"".join([*held, data])):
+                yield pa.array([line], pa.binary())
+            return
+        n = len(data) & ~1
+        rest, units = data[n:], np.frombuffer(data, "<u2" if little else ">u2", n // 2)
+        feeds = np.flatnonzero(units == 10)
+        within = int(np.searchsorted(at + 2 * (feeds + 1), end))  # feeds behind which a line of this range begins
+        done, feeds, at = within < len(feeds), feeds[: within + 1], at + n
+        first = 0
+        if held is None:
+            if not within:
+                if done or at >= end:
+                    return
+                continue
+            held, first, feeds = [], int(feeds[0]) + 1, feeds[1:]
+        if len(feeds):
+            kept = units[first : feeds[-1]]
+            size = 2 * (np.diff(feeds, prepend=first - 1) - 1)
+            before = b"".join(held)
+            size[0] += len(before)
+            offsets = np.concatenate([[0], np.cumsum(size[size > 0])]).astype(np.int32)
+            body = before + kept[kept != 10].tobytes()
+            yield pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(body)])
+            first, held = int(feeds[-1]) + 1, []
+        if done:
+            return
+        held.append(data[2 * first : n])
+
+
+def _read_wide(spark: SparkSession, wide: DataFrame, ranged: bool) -> DataFrame:
+    """(path, line) of the UTF-16 files of a written table (path, length, encoding), a task taking ranges of files; without
+    ranged a file is read whole, by Spark."""
+    import io
+
+    workers_import(spark)
 
-    return _listed(spark, paths, glob).select("path").mapInArrow(head, "path string, head binary").select("path", kind(F.hex("head")).alias("encoding"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                path, kind, start, end = (b.column(k)[i].as_py() for k in range(4))
+                with _opened(path) if ranged else io.BytesIO(b.column(4)[i].as_buffer()) as f:
+                    for lines in _wide_lines(f, start, end, kind == "UTF-16LE"):
+                        for k in range(0, len(lines), BATCH_LINES):
+                            some = lines.slice(k, BATCH_LINES)
+                            yield pa.RecordBatch.from_arrays([pa.repeat(path, len(some)), pa.repeat(kind, len(some)), some], names=["path", "encoding", "line"])
+
+    if ranged:
+        starts = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(RANGE_BYTES).cast("long"))
+        ranges = wide.select("path", "encoding", F.explode(starts).alias("start")).select("*", (F.col("start") + RANGE_BYTES).alias("end"))
+        todo = ranges.repartition(max(1, min(ranges.count(), RANGE_TASKS)))
+    else:
+        raw = spark.read.format("binaryFile").load([r.path for r in wide.select("path").toLocalIterator()])
+        kind = _kind(F.substring("content", 1, 2))
+        todo = raw.select("path", kind.alias("encoding"), F.lit(0).cast("long").alias("start"), F.col("length").alias("end"), "content")
+    found = todo.mapInArrow(run, "path string, encoding string, line binary")
+    text = F.when(F.col("encoding") == "UTF-16LE", F.decode("line", "UTF-16LE")).otherwise(F.decode("line", "UTF-16BE"))
+    return found.select("path", trim_line(text).alias("line")).where("line != ''")
 
 
 def read_sniffed(spark: SparkSession, paths: list[str], glob: str = TXT) -> DataFrame:
-    """(path, line) of files in UTF-8 or UTF-16 with a byte order mark. A UTF-16 file is read whole by one task;
-    UTF-8 files go through read_lines, so only files of the other kind are held."""
-    kinds = sniffed(spark, paths, glob).where("encoding != 'UTF-8'")
-    wide = [r.path for r in kinds.select("path").toLocalIterator()]
+    """(path, line) of files in UTF-8 or UTF-16 with a byte order mark. Ranges of a UTF-16 file are read by different
+    tasks, in pieces (a file in a store that only Spark opens: whole, by one); UTF-8 files go through read_lines."""
+    wide = written(_heads(spark, paths, glob).where("encoding != 'UTF-8'"), "wide")
     lines = read_lines(spark, paths, glob)
-    if not wide:
+    if wide.isEmpty():
         return lines
-    raw = spark.read.format("binaryFile").load(wide)
-    head = F.hex(F.substring("content", 1, 2))
-    body = F.substring("content", 3, 2**31 - 1)
-    text = F.when(head == "FFFE", F.decode(body, "UTF-16LE")).otherwise(F.decode(body, "UTF-16BE"))
-    decoded = raw.select("path", F.explode(F.split(text, "\n")).alias("line")).select("path", trim_line(F.col("line")).alias("line")).where("line != ''")
-    known = spark.createDataFrame([(p,) for p in wide], "wide string")
     same = F.regexp_replace("path", "^file:/+", "/") == F.regexp_replace("wide", "^file:/+", "/")
-    return lines.join(F.broadcast(known), same, "left_anti").unionByName(decoded)
+    narrow = lines.join(few(wide.select(F.col("path").alias("wide"))), same, "left_anti")
+    return narrow.unionByName(_read_wide(spark, wide, seekable(spark, paths)))
 
 
 def bounded(lines: DataFrame, limit: int = MAX_LINE_BYTES, line: str = "line") -> tuple[DataFrame, DataFrame]:
@@ -132,7 +210,7 @@ def bounded(lines: DataFrame, limit: int = MAX_LINE_BYTES, line: str = "line") -
     return lines.where(ok), lines.where(~ok)
 
 
-#: Bytes that are read, and decoded, at a time; in a walk fewer are read, since little input may decode to much.
+#: Bytes that are read, and decoded, at a time (an even number); in a walk fewer are read, since little input may decode to much.
 READ_BYTES, WALK_BYTES = 1 << 20, 4096
 
 

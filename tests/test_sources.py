@@ -1,8 +1,10 @@
+import io
 import os
 from datetime import UTC, datetime, timedelta
 
 import pytest
 import zstandard
+from pyspark.sql import functions as F
 
 from millrace import config
 from millrace.operators.library import Library, new_run_id
@@ -119,3 +121,34 @@ def test_config(tmp_path):
         config.load(str(tmp_path / "absent.toml"))
     with pytest.raises(ValueError):
         config.load(None, {"nonsense": 1})
+
+
+@pytest.mark.parametrize("little", [True, False])
+@pytest.mark.parametrize("size, read", [(4, 2), (4, 64), (6, 3), (10, 7), (64, 5), (8 << 20, 1 << 20)])
+def test_wide_ranges_give_each_line_once(monkeypatch, little, size, read):
+    monkeypatch.setattr(text, "READ_BYTES", read)
+    order = "utf-16-le" if little else "utf-16-be"
+    # U+0A00, U+0A0A and U+000A side by side: line feeds only where units begin
+    for body in ["", "\n", "a", "ab\n", "\n\na\n\n", "one\ntwo\n\nthree", "਀\nਊ\nĀ਀\n", "x" * 99 + "\n" + "yz\n" * 20, "😀\n" * 9 + "end\r\n", "\n" * 50]:
+        data = (b"\xff\xfe" if little else b"\xfe\xff") + body.encode(order)
+        got = []
+        for start in range(0, len(data), size):
+            for lines in text._wide_lines(io.BytesIO(data), start, start + size, little):
+                got += [x.decode(order) for x in lines.to_pylist()]
+        assert got == [x for x in body.split("\n") if x]
+
+
+def test_wide_file_is_read_by_ranges(spark, tmp_path, monkeypatch):
+    """No task holds a UTF-16 file: many take its ranges, and none reads much more than its own."""
+    monkeypatch.setattr(text, "RANGE_BYTES", 1 << 12)
+    say = [f"line {i} é中😀" for i in range(3000)]
+    path = put(tmp_path / "in/a.txt", b"\xff\xfe" + "\r\n".join(say).encode("utf-16-le"))
+    put(tmp_path / "in/b.txt", b"\xfe\xff" + "\n".join(say[:50]).encode("utf-16-be"))
+    put(tmp_path / "in/c.txt", "plain é\n".encode())
+    got = text.read_sniffed(spark, [str(tmp_path / "in")])
+    assert sorted(r.line for r in got.collect()) == sorted([*say, *say[:50], "plain é"])
+    tasks = got.where(got.path.endswith("a.txt")).withColumn("task", F.spark_partition_id()).select("task").distinct().count()
+    assert tasks > os.path.getsize(path) // (1 << 12) // 2
+    monkeypatch.setattr(text, "seekable", lambda *_: False)
+    whole = text.read_sniffed(spark, [str(tmp_path / "in")])
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, got.collect()))
